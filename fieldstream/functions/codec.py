@@ -17,7 +17,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BinaryType,
+    DoubleType,
+    IntegerType,
+    LongType,
+    StructField,
+    StructType,
+)
 
 from ..plans.layouts import (
     CRC_BYTES,
@@ -45,10 +52,14 @@ _HEADER = (
     ("device_id", 3, 1, "int"), ("seq", 4, 2, "int"), ("packet_ts", 6, 4, "bigint"),
     ("field_mask", 10, 2, "int"),
 )
-_DECODED = StructType.fromDDL(
-    "reject int, " + ", ".join(f"{name} {kind}" for name, _, _, kind in _HEADER) + ", "
-    + ", ".join(f"{name} double" for name in _WIRE))
-_ENCODED = StructType.fromDDL("packet binary, field_mask int, clamped bigint")
+_SQL = {"int": IntegerType(), "bigint": LongType()}
+_DECODED = StructType(
+    [StructField("reject", IntegerType())]
+    + [StructField(name, _SQL[kind]) for name, _, _, kind in _HEADER]
+    + [StructField(name, DoubleType()) for name in _WIRE])
+_ENCODED = StructType([
+    StructField("packet", BinaryType()), StructField("field_mask", IntegerType()),
+    StructField("clamped", LongType())])
 
 
 def _unsigned(flat: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:

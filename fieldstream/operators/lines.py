@@ -40,7 +40,8 @@ def ascii_events(df: DataFrame, payload: str = "payload") -> DataFrame:
     fields = F.when(F.col("text").isNotNull(), t.text_fields(F.col("text")))
     return (
         cleaned.withColumn("_fields", fields)
-        .select(*cleaned.columns, hex_text(F.col(payload)).alias("payload_hex"),
+        .select(*[c for c in cleaned.columns if c != "payload_hex"],
+                hex_text(F.col(payload)).alias("payload_hex"),
                 F.col("_fields.kind").alias("text_kind"),
                 F.col("_fields.num").alias("num"), F.col("_fields.str").alias("str"))
     )
@@ -79,7 +80,6 @@ def decode_lines(df: DataFrame, payload_hex: str = "payload_hex",
     else:
         decoded = decoded.withColumns({
             "text": F.lit(None).cast("string"), "text_kind": F.lit(None).cast("string"),
-            "payload_hex": F.lit(None).cast("string"),
             "num": F.lit(None).cast("map<string,double>"),
             "str": F.lit(None).cast("map<string,string>")})
     read_as_text = F.col("text").isNotNull()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,13 +48,15 @@ def _code(name: Column, numbers: dict[str, int]) -> Column:
 
 def route(df: DataFrame, buckets: dict[str, str] | None = None,
           default: str = dim.DEFAULT_BUCKET) -> DataFrame:
-    """Add ``bucket`` by message type, with a default for types without a route."""
-    routes = dim.route_table(df.sparkSession, buckets)
-    return (
-        df.join(F.broadcast(routes), F.col("msg_type") == F.col("route_type"), "left")
-        .withColumn("bucket", F.coalesce("route_bucket", F.lit(default)))
-        .drop("route_type", "route_bucket")
-    )
+    """Add ``bucket`` by message type, with a default for types without a route.
+
+    The routes are a handful of settings, so they are a literal in the expression rather
+    than a join.
+    """
+    bucket = F.lit(default)
+    for msg_type, name in (dim.BUCKETS if buckets is None else buckets).items():
+        bucket = F.when(F.col("msg_type") == msg_type, name).otherwise(bucket)
+    return df.withColumn("bucket", bucket)
 
 
 def event_points(events: DataFrame, time: str = "received_us",
@@ -64,7 +67,8 @@ def event_points(events: DataFrame, time: str = "received_us",
     Message type and device are tags. Numbers become doubles, the event type its number,
     NULLs are dropped, and the hex text of a payload never becomes a field. Wire fields
     are named ``fields_*``. A point without any number gets ``received = 1``; an event
-    with nothing usable gives no point. A point's time is when it arrived.
+    that is neither a packet (it has a version) nor a text has nothing usable and gives
+    no point. A point's time is when it arrived.
 
     Text events bring ``num``, ``str`` and ``text``; packets bring their field columns.
     """
@@ -107,9 +111,8 @@ def event_points(events: DataFrame, time: str = "received_us",
         F.lit("mppt_index").alias("key"),
         F.concat(F.lit("MPPT_"), index.cast("int").cast("string")).alias("value"))))
 
-    usable = [c.cast("string") for c in numbers.values()]
-    usable += [F.col(c) for c in ("text",) if c in have]
-    shaped = events.where(F.coalesce(*usable).isNotNull()).withColumns({
+    usable = [F.col(c).isNotNull() for c in ("version", "text") if c in have]
+    shaped = events.where(reduce(lambda a, c: a | c, usable)).withColumns({
         "measurement": F.lit(measurement),
         "tags": F.map_from_entries(F.array_compact(F.array(*tag_pairs))),
         "_num": num,
@@ -134,9 +137,16 @@ def _joined(pairs: Column, value) -> Column:
         lambda e: F.concat(_escaped(e["key"]), F.lit("="), value(e["value"]))), ",")
 
 
+def _number_text(value: Column) -> Column:
+    """Text of a double; whole numbers without an exponent."""
+    whole = (value == F.rint(value)) & (F.abs(value) < 1e15)
+    return F.when(whole, F.concat(value.cast("long").cast("string"), F.lit(".0"))).otherwise(
+        value.cast("string"))
+
+
 def line_protocol(points: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Points as text: measurement, tags, fields, nanoseconds; keys sorted."""
-    numbers = _joined(F.col("num"), lambda v: v.cast("string"))
+    numbers = _joined(F.col("num"), _number_text)
     texts = _joined(F.col("str"), lambda v: F.concat(
         F.lit('"'), F.regexp_replace(v, r'(["\\])', r"\\$1"), F.lit('"')))
     fields = F.concat_ws(",", F.nullif(numbers, F.lit("")), F.nullif(texts, F.lit("")))

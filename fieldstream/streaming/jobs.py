@@ -36,6 +36,7 @@ def gap_stream(packets: DataFrame, session: Sequence[str], arrival: str = "arriv
     kinds = dict(packets.dtypes)
     key_ddl = ", ".join(f"{k} {kinds[k]}" for k in keys)
     output = f"{key_ddl}, {arrival} bigint, seq int, prev_seq int, gap int, lost int, late boolean"
+    schema = StructType.fromDDL(output)
 
     def observe(key, batches, state: GroupState):
         last_seq, last_at = state.get if state.exists else (None, None)
@@ -50,18 +51,17 @@ def gap_stream(packets: DataFrame, session: Sequence[str], arrival: str = "arriv
             rows.append((*key, at, seq, last_seq, gap, lost, False))
             last_seq, last_at = seq, at
         state.update((last_seq, last_at))
-        yield _frame(rows, output)
+        yield _frame(rows, schema)
 
     return (
         packets.select(*keys, arrival, "seq").groupBy(*keys)
         .applyInPandasWithState(
-            observe, output, "last_seq int, last_at bigint", "append",
+            observe, schema, "last_seq int, last_at bigint", "append",
             GroupStateTimeout.NoTimeout)
     )
 
 
-def _frame(rows: list[tuple], ddl: str) -> pd.DataFrame:
-    schema = StructType.fromDDL(ddl)
+def _frame(rows: list[tuple], schema: StructType) -> pd.DataFrame:
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
     nullable = {"integer": "Int32", "long": "Int64", "boolean": "boolean", "double": "Float64"}
     return pd.DataFrame({
@@ -82,6 +82,7 @@ def deadband_stream(readings: DataFrame, spec: PolicySpec, keys: Sequence[str],
     step = Deadband(spec, time, "_ok").step
     output = ", ".join(f"{c} {kinds[c]}" for c in [*keys, *order])
     output += ", event_type string, prev_t_us bigint, late boolean"
+    schema = StructType.fromDDL(output)
     watched_ddl = ", ".join(f"w{i} {kinds[c]}" for i, c in enumerate(watched))
     state_ddl = f"sent_at bigint, ok boolean, {watched_ddl}, seen_at bigint"
 
@@ -102,11 +103,11 @@ def deadband_stream(readings: DataFrame, spec: PolicySpec, keys: Sequence[str],
                 rows.append((*key, *at, *result, False))
         if last is not None:
             state.update((*last, seen))
-        yield _frame(rows, output)
+        yield _frame(rows, schema)
 
     return (
         readings.select(*keys, *order, *watched).groupBy(*keys)
-        .applyInPandasWithState(observe, output, state_ddl, "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(observe, schema, state_ddl, "append", GroupStateTimeout.NoTimeout)
     )
 
 

@@ -170,8 +170,9 @@ FROM (SELECT *, regexp_extract_all(head, '\\b[0-9A-Fa-f]{2}\\b') AS tokens
  ELSE 'Data: (HEX:) ' || body || ' ,-33,13' END AS line
  FROM b WHERE event_id % 10 <> 0)""")
 
-oracle("encode_packet", """SELECT * REPLACE (CASE WHEN encode_error IS NULL THEN field_mask END
- AS field_mask) FROM hexed""", *HEX_CTES)
+oracle("encode_packet", """SELECT * REPLACE (
+ CASE WHEN encode_error IS NULL THEN field_mask END AS field_mask,
+ CASE WHEN encode_error IS NULL THEN clamped ELSE '' END AS clamped) FROM hexed""", *HEX_CTES)
 
 _kind = f"({f.CORRUPT})"
 _reason = f"CASE {_kind} " + " ".join(
@@ -754,6 +755,27 @@ SELECT event_id, msg_type, {_bucket} AS bucket FROM (
  SELECT event_id, msg_type FROM d UNION ALL SELECT event_id, 'ASCII' FROM texts) AS x""",
        *PACKET_CTES, TEXTS)
 
+
+
+def _point_number(c: str) -> str:
+    return (f"CASE WHEN {c} = round_even({c}, 0) THEN {c}::BIGINT || '.0' "
+            f"ELSE {_plain.format(c=c)} END")
+
+
+_point_fields = [("event_type", EVENT_CODE), ("field_mask", "field_mask"),
+                 *[(f"fields_{c}", c) for c in sorted(decoded_columns("RTD"))],
+                 ("seq", "seq"), ("timestamp", "packet_ts"), ("version", "version")]
+_point_text = "concat_ws(',', " + ", ".join(
+    f"CASE WHEN ({c}) IS NOT NULL THEN '{n}=' || ({_point_number(f'({c})::DOUBLE')}) END"
+    for n, c in _point_fields) + ")"
+oracle("sink_line_protocol", f"""
+SELECT 'telemetry,device_id=' || device_id || ',msg_type=RTD,source=receiver ' || {_point_text}
+ || ' ' || (received_us * 1000) AS value FROM d WHERE msg_type = 'RTD'
+UNION ALL
+SELECT 'telemetry,msg_type=ASCII,source=receiver ' || CASE event_id % 2 WHEN 0 THEN 'received=1.0'
+ ELSE 'temp=' || c || '.0' END || ',payload="' || text || '" ' || (received_us * 1000)
+FROM texts""", *PACKET_CTES, TEXTS)
+
 oracle("fan_out", """
 SELECT sink, sink <> 'broken' AS ok, CASE sink WHEN 'broken' THEN 'ValueError' END AS error,
  CASE WHEN sink <> 'broken' THEN n END AS n_rows, CASE WHEN sink <> 'broken' THEN s END AS id_sum
