@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 # --- fixed values -----------------------------------------------------------
 CRC_SEED = 0xFFFF
@@ -91,12 +91,38 @@ def byte_sum(values: pa.Array) -> pa.Array:
     return _with_nulls(running[start + length] - running[start], values)
 
 
+_REPLY = StructType([
+    StructField("crc", IntegerType()), StructField("sent_crc", IntegerType()),
+    StructField("words", ArrayType(IntegerType()))])
+
+
+@F.arrow_udf(_REPLY)
+def modbus_reply(frames: pa.Array) -> pa.Array:
+    """Computed and sent checksum of reply frames, and the 16-bit words after byte 3."""
+    flat, start, length = flat_bytes(frames)
+    body = np.maximum(length - 2, 0)
+    crc = checksum(flat, start, body, modbus_step)
+    sent = np.full(len(frames), -1, dtype=np.int32)
+    closed = np.flatnonzero(length >= 2)
+    tail = start[closed] + body[closed]
+    sent[closed] = flat[tail] + (flat[tail + 1].astype(np.int32) << 8)
+    count = np.maximum(body - 3, 0) // 2
+    ends = np.concatenate(([0], np.cumsum(count)))
+    at = np.repeat(start + 3 - 2 * ends[:-1], count) + 2 * np.arange(ends[-1])
+    words = (flat[at].astype(np.int32) << 8) | flat[at + 1]
+    lists = pa.ListArray.from_arrays(
+        pa.array(ends, type=pa.int32()), pa.array(words, type=pa.int32()))
+    return pa.StructArray.from_arrays(
+        [pa.array(crc.astype(np.int32)), pa.array(sent), lists], names=_REPLY.names)
+
+
 # An expression holding a Python function may be copied by the optimizer, for instance
 # when a filter moves below it, and would then run twice per row. Marked like this it
 # runs once, where it was written; filter on other columns before it.
 crc16_ccitt = crc16_ccitt.asNondeterministic()
 crc16_modbus = crc16_modbus.asNondeterministic()
 byte_sum = byte_sum.asNondeterministic()
+modbus_reply = modbus_reply.asNondeterministic()
 
 
 def hex_text(value: Column) -> Column:

@@ -120,21 +120,28 @@ def _csv_numbers(text: Column) -> Column:
     return F.transform(parts, py_float)
 
 
-def text_fields(text: Column) -> Column:
-    """Struct(kind, num, str) read from a payload text.
+def text_candidates(text: Column) -> dict[str, Column]:
+    """The readings of a payload text from which ``text_fields`` picks one. Kept as columns
+    of their own, so that each is worked out once."""
+    return {
+        "_json": _last_per_key(_json_entries(text)),
+        "_kv": _last_per_key(_kv_entries(text)),
+        "_scalar": py_float(text),
+        "_csv": _csv_numbers(text),
+    }
+
+
+def text_fields() -> Column:
+    """Struct(kind, num, str) chosen from the columns of ``text_candidates``.
 
     Tried in turn: JSON object, ``key=value`` pairs, one number, a list of numbers (the
     first five are kept), and otherwise bare text.
     """
-    json_entries = _json_entries(text)
-    kv = _kv_entries(text)
-    scalar = py_float(text)
-    csv = _csv_numbers(text)
+    json, kv, scalar, csv = (F.col(c) for c in ("_json", "_kv", "_scalar", "_csv"))
     csv_ok = (F.size(csv) >= 2) & F.forall(csv, lambda v: v.isNotNull())
     csv_entries = F.transform(
         F.slice(csv, 1, CSV_VALUES),
-        lambda v, i: F.struct(F.concat(F.lit("value_"), i.cast("string")).alias("key"),
-                              v.alias("value")))
+        lambda v, i: F.struct(F.concat(F.lit("value_"), i.cast("string")), v))
     no_num = F.expr("cast(map() as map<string,double>)")
     no_str = F.expr("cast(map() as map<string,string>)")
 
@@ -143,13 +150,12 @@ def text_fields(text: Column) -> Column:
 
     def pick(name):
         return F.map_from_entries(F.transform(
-            F.filter(_last_per_key(json_entries), lambda e: e[name].isNotNull()),
+            F.filter(json, lambda e: e[name].isNotNull()),
             lambda e: F.struct(e["key"], e[name])))
 
     return (
-        F.when(json_entries.isNotNull(),
-               branch("json", pick("num"), pick("str")))
-        .when(F.size(kv) > 0, branch("kv", F.map_from_entries(_last_per_key(kv))))
+        F.when(json.isNotNull(), branch("json", pick("num"), pick("str")))
+        .when(F.size(kv) > 0, branch("kv", F.map_from_entries(kv)))
         .when(scalar.isNotNull(), branch("scalar", F.create_map(F.lit("value"), scalar)))
         .when(csv_ok, branch("csv", F.map_from_entries(csv_entries)))
         .otherwise(branch("text", no_num))

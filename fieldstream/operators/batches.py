@@ -83,17 +83,20 @@ def _cut(hexed: Column) -> Column:
         acc["parts"].alias("parts")))
 
 
-def split_batches(df: DataFrame, frame: str = "frame") -> DataFrame:
+def split_batches(df: DataFrame, frame: str = "frame",
+                  single_as_element: bool = False) -> DataFrame:
     """One row per packet of each frame, with ``element_pos`` from 0.
 
     A frame that is truncated or has bytes left over is rejected whole: one row with its
-    ``reject_reason`` and no packet.
+    ``reject_reason`` and no packet. What is no batch frame is rejected too, or with
+    ``single_as_element`` taken as one bare packet.
     """
-    hexed = b.hex_text(F.col(frame))
-    cut = df.withColumn("_hex", hexed).withColumn(
-        "_cut", F.when(is_batch(F.col(frame)), _cut(F.col("_hex"))).otherwise(
-            F.struct(F.lit("not a batch frame").alias("reason"),
-                     F.expr("cast(array() as array<string>)").alias("parts"))))
+    whole = F.struct(
+        F.lit(None if single_as_element else "not a batch frame").cast("string").alias("reason"),
+        F.array(F.col("_hex") if single_as_element else F.lit(None).cast("string"))
+        .alias("parts"))
+    cut = df.withColumn("_hex", b.hex_text(F.col(frame))).withColumn(
+        "_cut", F.when(is_batch(F.col(frame)), _cut(F.col("_hex"))).otherwise(whole))
     failed = F.col("_cut.reason")
     parts = F.when(failed.isNull(), F.col("_cut.parts")).otherwise(
         F.array(F.lit(None).cast("string")))

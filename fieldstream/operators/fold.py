@@ -246,7 +246,7 @@ def run_fold(timeline: Timeline, fold: Fold, keep: Sequence[str]) -> DataFrame:
     schema = _schema(rows, passed, fold.output)
     arrow = to_arrow_schema(schema)
     if not timeline.split:
-        return rows.mapInArrow(_runner(fold, parts, passed, arrow, False), schema)
+        return timeline.mark(rows.mapInArrow(_runner(fold, parts, passed, arrow, False), schema))
 
     summary = _schema(rows, parts, "_summary string")
     entry = _schema(rows, parts, f"{ENTRY} string")

@@ -37,9 +37,9 @@ def ascii_events(df: DataFrame, payload: str = "payload") -> DataFrame:
     ``text`` is NULL where the payload is empty or not valid UTF-8.
     """
     cleaned = df.withColumn("text", F.nullif(t.clean_ascii(F.col(payload)), F.lit("")))
-    fields = F.when(F.col("text").isNotNull(), t.text_fields(F.col("text")))
     return (
-        cleaned.withColumn("_fields", fields)
+        cleaned.withColumns(t.text_candidates(F.col("text")))
+        .withColumn("_fields", F.when(F.col("text").isNotNull(), t.text_fields()))
         .select(*[c for c in cleaned.columns if c != "payload_hex"],
                 hex_text(F.col(payload)).alias("payload_hex"),
                 F.col("_fields.kind").alias("text_kind"),
@@ -57,19 +57,13 @@ def decode_lines(df: DataFrame, payload_hex: str = "payload_hex",
     * ``ascii``: what is no packet but reads as text; only if that fails too does the
       packet's own reject reason stand.
 
-    Only decoding with the given ``decoder`` needs one pass: container elements and bare
-    packets go through it together.
+    Container elements and bare packets go through the ``decoder`` together, so the lines
+    are read once.
     """
     data = df.withColumn("payload", F.unhex(F.col(payload_hex))).where(F.length("payload") > 0)
-    data = data.withColumn("_batch", is_batch(F.col("payload")))
-    elements = split_batches(data.where("_batch"), "payload").withColumnRenamed(
-        "reject_reason", "_container")
-    bare = data.where("not _batch").withColumns({
-        "_container": F.lit(None).cast("string"),
-        "element_pos": F.lit(0),
-        "packet": F.when(F.length("payload") > 2, F.col("payload")),
-    })
-    decoded = decoder(elements.unionByName(bare))
+    data = data.drop("payload_hex").withColumn("_batch", is_batch(F.col("payload")))
+    decoded = decoder(split_batches(data, "payload", single_as_element=True).withColumnRenamed(
+        "reject_reason", "_container"))
     decoded = decoded.withColumn(
         "reject_reason", F.coalesce(F.col("_container"), F.col("reject_reason")))
     failed = ~F.col("_batch") & F.col("reject_reason").isNotNull()

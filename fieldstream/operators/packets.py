@@ -22,11 +22,8 @@ DERIVED_BUILDERS = {
 }
 
 
-def _by_code(code: Column, names: dict[int, str]) -> Column:
-    found = F.lit(None).cast("string")
-    for number, name in names.items():
-        found = F.when(code == number, name).otherwise(found)
-    return found
+def _name_sql(code: str, names: dict[int, str]) -> str:
+    return f"CASE {code} " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in names.items()) + " END"
 
 
 def _by_name(name: Column, numbers: dict[str, int]) -> Column:
@@ -88,15 +85,14 @@ def decode_packets(df: DataFrame, packet: str = "packet") -> DataFrame:
     header = ("version", "msg_type", "event_type", "device_id", "seq", "packet_ts", "field_mask")
     wire = [c for c in all_decoded_columns() if c not in _derived_names()]
     kept = [c for c in df.columns if c not in header and c not in all_decoded_columns()]
-    decoded = df.select(*kept, decoder(F.col(packet)).alias("_d")).select(
-        *kept,
-        F.element_at(F.array(*[F.lit(r) for r in REJECT_REASONS]), F.col("_d.reject") + 1)
-        .alias("reject_reason"),
-        F.col("_d.version").alias("version"),
-        _by_code(F.col("_d.msg_type"), MSG_TYPES).alias("msg_type"),
-        _by_code(F.col("_d.event_type"), EVENT_TYPES).alias("event_type"),
-        *[F.col(f"_d.{c}").alias(c) for c in ("device_id", "seq", "packet_ts", "field_mask")],
-        *[F.col(f"_d.{c}").alias(c) for c in wire])
+    reasons = ", ".join("null" if r is None else f"'{r}'" for r in REJECT_REASONS)
+    decoded = df.select(*kept, decoder(F.col(packet)).alias("_d")).selectExpr(
+        *[f"`{c}`" for c in kept],
+        f"element_at(array({reasons}), _d.reject + 1) as reject_reason",
+        "_d.version as version",
+        _name_sql("_d.msg_type", MSG_TYPES) + " as msg_type",
+        _name_sql("_d.event_type", EVENT_TYPES) + " as event_type",
+        *[f"_d.{c} as {c}" for c in ("device_id", "seq", "packet_ts", "field_mask", *wire)])
     return add_derived(decoded).select(*kept, "reject_reason", *header, *all_decoded_columns())
 
 

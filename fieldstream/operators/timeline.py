@@ -15,6 +15,7 @@ on where the cuts fall.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str], position: str, limit: int) -> D
     )
 
 
+# Results known to have no hot key, with the keys that were counted. Counting again would
+# compute everything below once more.
+_COLD: WeakKeyDictionary[DataFrame, frozenset[str]] = WeakKeyDictionary()
+
+
+def inherit(df: DataFrame, source: DataFrame) -> DataFrame:
+    """Carry over that no key is hot. Only for results with no more rows per key than
+    ``source`` has: filtered, reduced, or with columns added."""
+    if source in _COLD:
+        _COLD[df] = _COLD[source]
+    return df
+
+
+def _known_cold(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Groups by more columns are never larger than by fewer."""
+    return df in _COLD and _COLD[df] <= set(keys)
+
+
 class Timeline:
     """Rows with keys and a total order within each key.
 
@@ -54,8 +73,10 @@ class Timeline:
                  limit: int | None = None):
         self.keys, self.order = list(keys), list(order)
         limit = limit or GROUP_ROWS
-        hot = hot_keys(df, self.keys, self.order[0], limit)
-        n_hot = hot.count()
+        hot, n_hot = None, 0
+        if not _known_cold(df, self.keys):
+            hot = hot_keys(df, self.keys, self.order[0], limit)
+            n_hot = hot.count()
         self.split = n_hot > 0
         if self.split:
             side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
@@ -75,7 +96,13 @@ class Timeline:
 
     @property
     def rows(self) -> DataFrame:
-        return self._rows.drop(SLICE)
+        return self.mark(self._rows.drop(SLICE) if self.split else self._rows)
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        """Note on a result with the same keys that none is hot, if that is so."""
+        if not self.split:
+            _COLD[df] = frozenset(self.keys)
+        return df
 
     @property
     def parts(self) -> list[str]:

@@ -75,3 +75,13 @@ def epoch_us(df: DataFrame, column: str):
         return F.expr(
             f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{column}`)")
     return F.unix_micros(F.col(column))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores at least one partition per core.
+
+    Small files come as one split however costly the work per row is. A table with enough
+    splits is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -17,29 +17,22 @@ def register_replies(df: DataFrame, frame: str = "frame") -> DataFrame:
     Needs ``address``, ``func``, ``start`` and ``count`` of the request. Adds
     ``reject_reason`` and ``registers`` (unsigned 16-bit, NULL when rejected).
     """
-    work = df.select(
-        "*", b.hex_text(F.col(frame)).alias("_hex"),
-        F.length(frame).alias("_size"),
-        b.crc16_modbus(F.expr(f"substring({frame}, 1, greatest(length({frame}) - 2, 0))"))
-        .alias("_crc"))
-    h, size = F.col("_hex"), F.col("_size")
-    sent = F.when(size >= 5, b.unsigned_at(h, size - 1, 1) * 256 + b.unsigned_at(h, size - 2, 1))
-    byte = {n: F.when(size >= 5, b.unsigned_at(h, n, 1).cast("int")) for n in range(3)}
-    wanted = F.col("count") * 2
+    work = df.select("*", b.modbus_reply(F.col(frame)).alias("_r"),
+                     F.length(frame).alias("_size"),
+                     F.hex(F.substring(frame, 1, 3)).alias("_head"))
+    size, wanted = F.col("_size"), F.col("count") * 2
+    byte = [b.unsigned_at(F.col("_head"), n, 1).cast("int") for n in range(3)]
     reason = (
         F.when(size.isNull() | (size < 5), "response too short")
-        .when(F.col("_crc") != sent, "crc mismatch")
+        .when(F.col("_r.crc") != F.col("_r.sent_crc"), "crc mismatch")
         .when(byte[0] != F.col("address"), "wrong address")
         .when(byte[1] == F.col("func").bitwiseOR(F.lit(0x80)), "exception reply")
         .when(byte[1] != F.col("func"), "unexpected function")
         .when((byte[2] != wanted) | (size - 2 != wanted + 3), "byte count"))
-    values = F.transform(
-        F.sequence(F.lit(0), F.col("count") - 1),
-        lambda i: b.unsigned_at(h, i * 2 + 3, 2).cast("int"))
     return (
         work.withColumn("reject_reason", reason)
-        .withColumn("registers", F.when(F.col("reject_reason").isNull(), values))
-        .drop("_hex", "_size", "_crc")
+        .withColumn("registers", F.when(F.col("reject_reason").isNull(), F.col("_r.words")))
+        .drop("_r", "_size", "_head")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import binary as b
 from ..functions import text as t
 from ..operators.fold import FiniteState, run_fold
-from ..operators.timeline import Timeline
+from ..operators.timeline import Timeline, inherit
 from ..plans.policies import REPORT_SECONDS
 
 REQUIRED_KEYS = ("V", "I", "P")
@@ -66,8 +66,9 @@ def text_blocks(df: DataFrame, keys: Sequence[str], order: str = "line_no",
         .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))
              .alias("fields"))
     )
-    return closed.join(fields, block, "left").withColumn("fields", F.when(
+    blocks = closed.join(fields, block, "left").withColumn("fields", F.when(
         F.col("ok"), F.coalesce("fields", F.expr("cast(map() as map<string,string>)"))))
+    return inherit(blocks, numbered)
 
 
 class _Accumulate(FiniteState):
@@ -95,7 +96,7 @@ def accumulate(blocks: DataFrame, keys: Sequence[str],
     """
     present = sum((F.when(F.map_contains_key("fields", F.lit(k)), 1 << i).otherwise(0)
                    for i, k in enumerate(required)), F.lit(0))
-    valid = blocks.where("ok").withColumn("_present", present)
+    valid = inherit(blocks.where("ok").withColumn("_present", present), blocks)
     marked = run_fold(
         Timeline(valid, keys, ["block_no"], limit), _Accumulate(len(required)), ["fields"])
     return Timeline(marked, keys, ["block_no"], limit).scan(

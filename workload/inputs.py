@@ -9,7 +9,7 @@ from fieldstream.functions import binary as b
 from fieldstream.operators.loss import assign_sequence
 from fieldstream.operators.packets import encode_packets
 from fieldstream.plans import dimensions as dim
-from fieldstream.session import epoch_us
+from fieldstream.session import epoch_us, spread
 
 from . import formulas as f
 
@@ -22,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    """Events in whole numbers; ``costly`` spreads a scan with few splits over the cores."""
     e = table(spark, sf_dir, "events")
+    e = spread(e) if costly else e
     return e.select(
         "event_id", epoch_us(e, "ts").alias("t_us"), "user_id", "event_type", "props",
         (F.col("user_id") % 8).alias("session_id"),
@@ -31,8 +33,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("value") * 100).cast("bigint").alias("c"))
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).withColumns(
+def readings(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    return events(spark, sf_dir, costly).withColumns(
         {name: F.expr(expr) for name, expr in f.READING.items()})
 
 
@@ -109,7 +111,7 @@ def rx_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sequence(F.lit(1), size),
         lambda i: F.lpad(F.lower(F.hex((F.col("c") * i) % 256)), 2, "0")), " ")
     line = F.expr("event_id % 10")
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir, costly=True).select(
         "event_id",
         F.when(line == 0, F.concat(F.lit("rxDone\r\nRssi= -"), F.col("event_id")))
         .when(line == 3, "b502aa55")
@@ -156,7 +158,7 @@ def ascii_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.concat(F.lit(" "), c, F.lit(".25 ")))
         .when(kind == 4, F.concat(c, F.lit(", 2, 3,4,5,6,7")))
         .when(kind == 5, F.concat(F.lit("\u0000hello-"), c)))
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir, costly=True).select(
         "event_id",
         F.when(kind == 6, F.concat(F.unhex(F.lit("fffe")), F.encode(c, "UTF-8")))
         .otherwise(F.encode(text, "UTF-8")).alias("payload"))
@@ -181,7 +183,7 @@ def split_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.expr("event_id % 23 = 2"), F.concat(F.lit("b509"), F.expr("substr(_f, 5)")))
         .when(F.expr("event_id % 23 = 3"), F.concat(F.lit("03"), F.expr("substr(_f, 3)")))
         .otherwise(F.col("_f")))
-    return events(spark, sf_dir).withColumn("_f", body).select(
+    return events(spark, sf_dir, costly=True).withColumn("_f", body).select(
         "event_id", F.unhex(spoiled).alias("frame"))
 
 
@@ -210,7 +212,7 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
     return orders.select(
         F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 8).alias("session_id")
     ).withColumn("pack_cv", F.expr(f.PACK_CV))
@@ -263,7 +265,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shunt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte lines of the shunt: two blocks per event, some with a wrong checksum."""
-    r = readings(spark, sf_dir)
+    r = readings(spark, sf_dir, costly=True)
 
     def line(slot, key, value, condition=None):
         text = F.concat(F.lit(f"{key}\t"), value.cast("string"), F.lit("\r\n"))
