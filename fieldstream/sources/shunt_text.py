@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import binary as b
 from ..functions import text as t
-from ..operators.fold import FiniteState, run_fold
+from ..operators.fold import Fold, run_fold
 from ..operators.timeline import Timeline, inherit
 from ..plans.policies import REPORT_SECONDS
 
@@ -37,8 +37,9 @@ def text_blocks(df: DataFrame, keys: Sequence[str], order: str = "line_no",
 
     A block ends at a line that starts with the checksum key; every line up to there,
     garbage and blank ones too, counts in its byte sum. An unfinished block at the end of
-    a capture is left out. Key-value pairs are collected for valid blocks only, after
-    keeping the last value per key, so a long run of noise never becomes one big map.
+    a capture is left out. Pairs are reduced to the last value per key before a block
+    collects them, and only valid blocks do, so a run of noise never becomes one big map.
+    All of it works on one shuffle by session; there is no join.
     """
     numbered = Timeline(parse_lines(df, raw), keys, [order], limit).scan(
         block_no=("before", F.col("ends_block").cast("long"))).rows
@@ -50,57 +51,76 @@ def text_blocks(df: DataFrame, keys: Sequence[str], order: str = "line_no",
         F.sum((F.length("text") > 0).cast("int")).alias("_seen"),
         F.sum("byte_sum").alias("_sum"),
         F.max(F.when(F.col("ends_block"), at)).alias("_end"))
-    closed = per_key.groupBy(*block).agg(
-        F.sum("_lines").alias("n_lines"), F.sum("_seen").alias("n_text_lines"),
-        F.sum("_sum").alias("_sum"), F.max("_end").alias("end_line"))
-    closed = (
-        closed.where(F.col("end_line").isNotNull())
-        .withColumn("byte_sum_mod", (F.col("_sum") % 256).cast("int"))
+    whole = Window.partitionBy(*block)
+    judged = (
+        per_key.withColumns({
+            "end_line": F.max("_end").over(whole),
+            "byte_sum_mod": (F.sum("_sum").over(whole) % 256).cast("int")})
+        .where(F.col("end_line").isNotNull())
         .withColumn("ok", F.col("byte_sum_mod") == 0)
-        .drop("_sum")
     )
-    fields = (
-        per_key.where(F.col("key").isNotNull())
-        .join(closed.where("ok").select(*block), block, "left_semi")
-        .groupBy(*block)
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))
-             .alias("fields"))
+    entry = F.when(F.col("ok") & F.col("key").isNotNull(), F.struct("key", "value"))
+    blocks = (
+        judged.groupBy(*block, "end_line", "byte_sum_mod", "ok")
+        .agg(F.sum("_lines").alias("n_lines"), F.sum("_seen").alias("n_text_lines"),
+             F.map_from_entries(F.collect_list(entry)).alias("fields"))
+        .withColumn("fields", F.when(F.col("ok"), F.col("fields")))
     )
-    blocks = closed.join(fields, block, "left").withColumn("fields", F.when(
-        F.col("ok"), F.coalesce("fields", F.expr("cast(map() as map<string,string>)"))))
     return inherit(blocks, numbered)
 
 
-class _Accumulate(FiniteState):
-    """State: which required keys are present so far. Complete means emit and clear."""
+class _Accumulate(Fold):
+    """State: (required keys present so far, block the frame began with or None).
+
+    Complete means emit and start afresh. Whatever a slice starts with, its outcome depends
+    only on which of the few required keys were present, so the summary lists the end for
+    each of those; a begin that is still the entry's own is marked.
+    """
 
-    inputs = ("_present",)
-    output = "returned boolean"
+    inputs = ("block_no", "_present")
+    output = "returned boolean, frame_block bigint"
+    own = -1
 
     def __init__(self, n_required: int):
         self.full = (1 << n_required) - 1
-        self.states = list(range(self.full))
+
+    def initial(self):
+        return 0, None
 
     def step(self, state, row):
-        state |= row[0]
-        done = state == self.full
-        return (0 if done else state), (done,)
+        present, begin = state[0] | row[1], row[0] if state[1] is None else state[1]
+        done = present == self.full
+        return ((0, None) if done else (present, begin)), (done, begin)
+
+    def summarise(self, rows):
+        ends = []
+        for state in [(0, None), *[(present, self.own) for present in range(self.full)]]:
+            for row in rows:
+                state, _ = self.step(state, row)
+            ends.append(state)
+        return ends
+
+    def chain(self, state, summary):
+        present, begin = state
+        if begin is None:
+            return tuple(summary[0])
+        after, began = summary[1 + present]
+        return after, (begin if began == self.own else began)
 
 
 def accumulate(blocks: DataFrame, keys: Sequence[str],
                required: Sequence[str] = REQUIRED_KEYS,
                limit: int | None = None) -> DataFrame:
-    """Valid blocks with ``frame_no``: the frame each one goes into, and whether it ends it.
+    """Valid blocks with ``frame_block``, the first block of the frame each one goes into,
+    and whether it completes that frame.
 
     Only the presence bits of the required keys take part in the sequential step.
     """
     present = sum((F.when(F.map_contains_key("fields", F.lit(k)), 1 << i).otherwise(0)
                    for i, k in enumerate(required)), F.lit(0))
     valid = inherit(blocks.where("ok").withColumn("_present", present), blocks)
-    marked = run_fold(
+    return run_fold(
         Timeline(valid, keys, ["block_no"], limit), _Accumulate(len(required)), ["fields"])
-    return Timeline(marked, keys, ["block_no"], limit).scan(
-        frame_no=("before", F.col("returned").cast("long"))).rows
 
 
 def text_frames(blocks: DataFrame, keys: Sequence[str],
@@ -112,17 +132,20 @@ def text_frames(blocks: DataFrame, keys: Sequence[str],
     for more and are left out. Values are reduced to one per key before a frame collects
     them, however many blocks it spans.
     """
-    marked = accumulate(blocks, keys, required, limit)
-    frame = [*keys, "frame_no"]
+    frame = [*keys, "frame_block"]
     latest = (
-        marked.select(*frame, "block_no", F.explode("fields").alias("key", "value"))
-        .groupBy(*frame, "key").agg(F.max_by("value", "block_no").alias("value"))
+        accumulate(blocks, keys, required, limit)
+        .select(*frame, "block_no", "returned", F.explode("fields").alias("key", "value"))
+        .groupBy(*frame, "key").agg(
+            F.max_by("value", "block_no").alias("value"),
+            F.max(F.when(F.col("returned"), F.col("block_no"))).alias("_end"))
+    )
+    return (
+        latest.groupBy(*frame).agg(
+            F.max("_end").alias("end_block"),
+            F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields"))
+        .where(F.col("end_block").isNotNull())
     )
-    ends = marked.where("returned").select(*frame, F.col("block_no").alias("end_block"))
-    fields = latest.groupBy(*frame).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value"))))
-        .alias("fields"))
-    return ends.join(fields, frame, "inner")
 
 
 def missing_block_runs(blocks: DataFrame, keys: Sequence[str],
@@ -133,21 +156,23 @@ def missing_block_runs(blocks: DataFrame, keys: Sequence[str],
     One block between frames is the normal cadence. Each run reports its first and last
     block, its length, the required keys still missing and all keys held, sorted.
     """
-    marked = accumulate(blocks, keys, required, limit).where(~F.col("returned"))
-    run = [*keys, "frame_no"]
-    sizes = marked.groupBy(*run).agg(
-        F.min("block_no").alias("first_block"), F.max("block_no").alias("last_block"),
-        F.count(F.lit(1)).alias("n_blocks"))
+    run = [*keys, "frame_block"]
     held = (
-        marked.select(*run, F.explode(F.map_keys("fields")).alias("key")).distinct()
-        .groupBy(*run).agg(F.array_sort(F.collect_list("key")).alias("have_keys"))
+        accumulate(blocks, keys, required, limit).where(~F.col("returned"))
+        .select(*run, "block_no", F.posexplode_outer(F.map_keys("fields")).alias("_pos", "key"))
+        .groupBy(*run, "key").agg(
+            F.min("block_no").alias("_first"), F.max("block_no").alias("_last"),
+            F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("_blocks"))
     )
+    runs = held.groupBy(*run).agg(
+        F.min("_first").alias("first_block"), F.max("_last").alias("last_block"),
+        F.sum("_blocks").alias("n_blocks"),
+        F.array_sort(F.collect_list("key")).alias("have_keys"))
     needed = F.array(*[F.lit(k) for k in required])
     return (
-        sizes.where(F.col("n_blocks") >= 2).join(held, run, "left")
-        .withColumn("have_keys", F.coalesce("have_keys", F.expr("cast(array() as array<string>)")))
+        runs.where(F.col("n_blocks") >= 2)
         .withColumn("missing_keys", F.array_except(needed, F.col("have_keys")))
-        .drop("frame_no")
+        .drop("frame_block")
     )
 
 

@@ -211,19 +211,27 @@ def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN event_id % 53 = 0 THEN 255 ELSE 193 END").alias("config_read"))
 
 
+ADDRESSES = [*range(0, 42), *range(113, 129)]
+
+
 def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One poll per order with its register values, in the order of ``ADDRESSES``.
+
+    Spelled out per register, so that each is a small compiled expression.
+    """
     orders = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
+    values = ", ".join(f"cast({f.register(str(r))} as int)" for r in ADDRESSES)
     return orders.select(
         F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 8).alias("session_id")
-    ).withColumn("pack_cv", F.expr(f.PACK_CV))
+    ).withColumn("pack_cv", F.expr(f.PACK_CV)).selectExpr(
+        "k", "session_id", f"array({values}) as regs")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Register maps per poll; register 26 is missing from some."""
-    addresses = "concat(sequence(0, 41), sequence(113, 128))"
-    values = f"transform({addresses}, r -> cast({f.register('r')} as int))"
+    addresses = f"array({', '.join(map(str, ADDRESSES))})"
     return polls(spark, sf_dir).withColumn(
-        "registers", F.expr(f"map_from_arrays({addresses}, {values})")
+        "registers", F.expr(f"map_from_arrays({addresses}, regs)")
     ).select("k", "session_id", F.expr(
         "CASE WHEN k % 23 = 0 THEN map_filter(registers, (r, v) -> r <> 26) "
         "ELSE registers END").alias("registers"))
@@ -233,15 +241,14 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reply frames of every poll; some spoiled, some polls lack their second reply."""
     ranges = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(n).alias("count"))
                        for s, n in dim.request_chunks()])
-    asked = polls(spark, sf_dir).select("k", "session_id", "pack_cv",
-                                        F.explode(ranges).alias("_r"))
-    asked = asked.select("k", "session_id", "pack_cv", "_r.start", "_r.count").where(
+    asked = polls(spark, sf_dir).select("k", "session_id", "regs", F.explode(ranges).alias("_r"))
+    asked = asked.select("k", "session_id", "regs", "_r.start", "_r.count").where(
         "NOT (k % 23 = 0 AND start = 32)")
     asked = asked.withColumns({
         "fault": F.expr(f.REPLY_FAULT),
         "data": F.expr(
-            "array_join(transform(sequence(start, start + count - 1), "
-            f"r -> lpad(hex(cast({f.register('r')} as bigint)), 4, '0')), '')")})
+            "array_join(transform(slice(regs, if(start < 100, start, start - 71) + 1, count), "
+            "v -> lpad(hex(v), 4, '0')), '')")})
     body = F.concat(
         F.when(F.col("fault") == 2, "02").otherwise("01"),
         F.when(F.col("fault") == 6, "04").otherwise("03"),
