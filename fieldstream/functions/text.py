@@ -14,17 +14,17 @@ ERROR_WORDS = ("ERROR", "UNKNOWN")
 ERROR_LINE = "ERR"
 RESET_NOTICE = "TAKE EFFECT AFTER ATZ"
 SEND_FAILURE_WORDS = ("NO ACK", "TIMEOUT", "FAILED", "FAIL")
-HEX_TOKEN = r"(?U)\b[0-9A-Fa-f]{2}\b"
+HEX_TOKEN = r"(?<![\p{L}\p{N}_])[0-9A-Fa-f]{2}(?![\p{L}\p{N}_])"
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000")
 KEY_VALUE = r"(?U)(\w+)=([-+]?[\d.]+)"
 MIN_PAYLOAD_BYTES = 3
 CSV_VALUES = 5
 # --- end of fixed values ----------------------------------------------------
 
-_EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def lenient_utf8(raw: Column) -> Column:
@@ -60,18 +60,16 @@ def reports_send_failure(line: Column) -> Column:
     return found
 
 
-def hex_payload(line: Column) -> Column:
-    """Hex digits of the payload before the first comma, or NULL when the line has none.
-
-    Only two-digit words count. A part that begins with ``-`` is the tail of a split
-    line, and fewer than three bytes are a fragment.
-    """
+def hex_tokens(line: Column) -> Column:
+    """Two-digit hex words before the first comma; NULL for a part that begins with ``-``,
+    which is the tail of a split line."""
     head = strip(F.split_part(line, F.lit(","), F.lit(1)))
-    tokens = F.regexp_extract_all(head, F.lit(HEX_TOKEN), F.lit(0))
-    return F.when(
-        ~head.startswith("-") & (F.size(tokens) >= MIN_PAYLOAD_BYTES),
-        F.array_join(tokens, ""),
-    )
+    return F.when(~head.startswith("-"), F.regexp_extract_all(head, F.lit(HEX_TOKEN), F.lit(0)))
+
+
+def hex_payload(tokens: Column) -> Column:
+    """Payload digits of the hex words; NULL for a fragment of fewer than three bytes."""
+    return F.when(F.size(tokens) >= MIN_PAYLOAD_BYTES, F.array_join(tokens, ""))
 
 
 def clean_ascii(raw: Column) -> Column:

@@ -89,7 +89,7 @@ def split_batches(df: DataFrame, frame: str = "frame",
 
     A frame that is truncated or has bytes left over is rejected whole: one row with its
     ``reject_reason`` and no packet. What is no batch frame is rejected too, or with
-    ``single_as_element`` taken as one bare packet.
+    ``single_as_element`` taken as one bare packet. A NULL frame gives no row.
     """
     whole = F.struct(
         F.lit(None if single_as_element else "not a batch frame").cast("string").alias("reason"),
@@ -100,9 +100,13 @@ def split_batches(df: DataFrame, frame: str = "frame",
     failed = F.col("_cut.reason")
     parts = F.when(failed.isNull(), F.col("_cut.parts")).otherwise(
         F.array(F.lit(None).cast("string")))
+    parts = F.when(F.col(frame).isNotNull(), parts)
+    # The outer form keeps the optimizer from adding a filter on the array's size, for
+    # which every frame would be cut twice.
     return (
         cut.select(*df.columns, failed.alias("reject_reason"),
-                   F.posexplode(parts).alias("element_pos", "_part"))
+                   F.posexplode_outer(parts).alias("element_pos", "_part"))
+        .where(F.col("element_pos").isNotNull())
         .withColumn("packet", F.unhex("_part"))
         .drop("_part")
     )

@@ -23,11 +23,15 @@ def payload_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
     """
     pieces = F.filter(
         F.transform(F.split(F.col(raw), r"[\r\n]"), t.strip), lambda p: F.length(p) > 0)
+    # The outer form: for the inner one the optimizer adds a filter on the array's size,
+    # which would split every text twice.
     lines = df.select(*[c for c in df.columns if c != raw],
-                      F.posexplode(pieces).alias("line_pos", "line"))
+                      F.posexplode_outer(pieces).alias("line_pos", "line"))
     return (
-        lines.where(~t.is_chatter(F.col("line")) & ~t.is_ack(F.col("line")))
-        .withColumn("payload_hex", t.hex_payload(F.col("line")))
+        lines.where(F.col("line_pos").isNotNull()
+                    & ~t.is_chatter(F.col("line")) & ~t.is_ack(F.col("line")))
+        .withColumn("_tokens", t.hex_tokens(F.col("line")))
+        .withColumn("payload_hex", t.hex_payload(F.col("_tokens"))).drop("_tokens")
     )
 
 
@@ -60,8 +64,8 @@ def decode_lines(df: DataFrame, payload_hex: str = "payload_hex",
     Container elements and bare packets go through the ``decoder`` together, so the lines
     are read once.
     """
-    data = df.withColumn("payload", F.unhex(F.col(payload_hex))).where(F.length("payload") > 0)
-    data = data.drop("payload_hex").withColumn("_batch", is_batch(F.col("payload")))
+    data = df.withColumn("payload", F.unhex(F.nullif(F.col(payload_hex), F.lit(""))))
+    data = data.drop(payload_hex).withColumn("_batch", is_batch(F.col("payload")))
     decoded = decoder(split_batches(data, "payload", single_as_element=True).withColumnRenamed(
         "reject_reason", "_container"))
     decoded = decoded.withColumn(

@@ -17,6 +17,7 @@ from ..functions.numeric import (
 from ..plans import dimensions as dim
 
 FRAME_BYTES = 8
+SLOTS = 1024     # positions a cell index may take
 
 
 def bmv(df: DataFrame, values: str = "fields") -> DataFrame:
@@ -33,35 +34,35 @@ def bmv(df: DataFrame, values: str = "fields") -> DataFrame:
     )
 
 
-def cell_stats(cells: Column, n_cells: int = dim.CELLS) -> Column:
+def cell_stats(cells: Column) -> Column:
     """Struct of the fitted cells' extremes; NULL members when no cell is fitted.
 
-    Indexes count from 1, and on ties the first cell wins. The pack has a fixed number of
-    cells, so the extremes are a plain ``greatest`` / ``least`` over structs, which is
-    compiled, where a lambda over the array would be interpreted per cell.
+    Indexes count from 1, and on ties the first cell wins: each extreme is taken over whole
+    numbers that hold the voltage above the position. Written with short lambdas, since
+    spelling out every cell makes one method too long for the JVM to compile.
     """
-    mv = [F.get(cells, F.lit(i)).cast("int") for i in range(n_cells)]
-    fitted = [m >= dim.FITTED_CELL_MV for m in mv]
-    top = F.greatest(*[F.when(ok, F.struct(m.alias("mv"), F.lit(-i - 1).alias("idx")))
-                       for i, (ok, m) in enumerate(zip(fitted, mv, strict=True))])
-    bottom = F.least(*[F.when(ok, F.struct(m.alias("mv"), F.lit(i + 1).alias("idx")))
-                       for i, (ok, m) in enumerate(zip(fitted, mv, strict=True))])
-    total, count = F.lit(0), F.lit(0)
-    for ok, m in zip(fitted, mv, strict=True):
-        total = total + F.when(ok, m).otherwise(0)
-        count = count + F.when(ok, 1).otherwise(0)
+    def fitted(mv):
+        return mv >= dim.FITTED_CELL_MV
+
+    high = F.transform(cells, lambda mv, i: F.when(
+        fitted(mv), mv.cast("long") * SLOTS + (SLOTS - 1 - i)))
+    low = F.transform(cells, lambda mv, i: F.when(fitted(mv), mv.cast("long") * SLOTS + (i + 1)))
+    total = F.aggregate(cells, F.lit(0).cast("long"), lambda acc, mv: acc + F.when(
+        fitted(mv), mv).otherwise(0))
     return F.struct(
-        count.alias("fitted"), top.alias("top"), bottom.alias("bottom"), total.alias("total"))
+        F.size(F.filter(cells, fitted)).alias("fitted"), F.array_max(high).alias("top"),
+        F.array_min(low).alias("bottom"), total.alias("total"))
 
 
 def _cell_columns(stats: str) -> list[Column]:
     top, bottom = F.col(f"{stats}.top"), F.col(f"{stats}.bottom")
+    high, low = (F.floor(x / SLOTS).cast("int") for x in (top, bottom))
     return [
-        top["mv"].alias("cell_v_max_mv"),
-        bottom["mv"].alias("cell_v_min_mv"),
-        (top["mv"] - bottom["mv"]).alias("cell_v_delta_mv"),
-        (-top["idx"]).alias("cell_max_idx"),
-        bottom["idx"].alias("cell_min_idx"),
+        high.alias("cell_v_max_mv"),
+        low.alias("cell_v_min_mv"),
+        (high - low).alias("cell_v_delta_mv"),
+        (SLOTS - top % SLOTS).cast("int").alias("cell_max_idx"),
+        (bottom % SLOTS).cast("int").alias("cell_min_idx"),
         F.when(F.col(f"{stats}.fitted") > 0, F.col(f"{stats}.total") / F.lit(1000.0))
         .alias("cell_sum_v"),
     ]
@@ -92,8 +93,9 @@ def bms(df: DataFrame, registers: str = "registers", current_sign: int = 1) -> D
         return value.cast("double") / F.lit(100.0)
 
     first = dim.BATTERY_REGISTERS["cell_first"]
-    cells = F.array(*[F.coalesce(F.try_element_at(regs, F.lit(first + i)), F.lit(0))
-                      for i in range(dim.CELLS)])
+    cells = F.transform(
+        F.sequence(F.lit(first), F.lit(first + dim.CELLS - 1)),
+        lambda r: F.coalesce(F.try_element_at(regs, r), F.lit(0)))
     missing = missing_registers(regs)
     return (
         df.withColumns({"cells_mv": cells, "_missing": missing})

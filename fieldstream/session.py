@@ -25,6 +25,9 @@ def build_session(app: str = "fieldstream", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The JVM never compiles a method of more than 8000 bytes of bytecode. Below this
+        # limit Spark keeps whole-stage code; above it, it uses smaller methods instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)

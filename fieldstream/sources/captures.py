@@ -36,7 +36,7 @@ def complete_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
     whole = F.slice(pieces, 1, F.size(pieces) - 1)
     return (
         df.select(*[c for c in df.columns if c != raw],
-                  F.posexplode(whole).alias("line_pos", "_line"))
+                  F.posexplode_outer(whole).alias("line_pos", "_line"))
         .withColumn("line", t.strip(F.col("_line"))).drop("_line")
         .where(F.length("line") > 0)
     )

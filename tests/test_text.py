@@ -13,7 +13,7 @@ from fieldstream.sources import captures
 ])
 def test_hex_payload(spark, line, expected):
     df = spark.createDataFrame([(line,)], "l string")
-    assert df.select(text.hex_payload(F.col("l"))).first()[0] == expected
+    assert df.select(text.hex_payload(text.hex_tokens(F.col("l")))).first()[0] == expected
 
 
 def test_lines_and_chatter(spark):
