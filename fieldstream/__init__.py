@@ -4,7 +4,5 @@ import sys
 
 from pyspark import cloudpickle
 
-SESSION_KEYS = ("vehicle_id", "session_id")
-
 # Task functions travel with their code, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import binary as b
@@ -67,33 +67,55 @@ def _unique(entries):
     return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(searched)
 
 
+def _printable(u16: Column) -> Column:
+    return (F.shiftright(u16, 8).between(32, 126)
+            & u16.bitwiseAND(F.lit(255)).between(32, 126))
+
+
+def _hex(u16: Column) -> Column:
+    return F.concat(F.lit("0x"), F.lpad(F.hex(u16), 4, "0"))
+
+
+def _pair(u16: Column) -> Column:
+    return F.concat(F.chr(F.shiftright(u16, 8)), F.chr(u16.bitwiseAND(F.lit(255))))
+
+
+def _labelled(df: DataFrame) -> DataFrame:
+    labels = dim.register_label_table(df.sparkSession)
+    return (
+        df.join(F.broadcast(labels), F.col("reg") == F.col("label_reg"), "left")
+        .withColumn("label", F.coalesce("label", F.lit(""))).drop("label_reg")
+    )
+
+
 def register_dump(snapshots: DataFrame, registers: str = "registers") -> DataFrame:
     """One row per register: hex, unsigned, signed, printable pair and label."""
-    labels = dim.register_label_table(snapshots.sparkSession)
     rows = snapshots.select(
         *[c for c in snapshots.columns if c != registers],
         F.explode(registers).alias("reg", "u16"))
-    high, low = F.shiftright("u16", 8), F.col("u16").bitwiseAND(F.lit(255))
-    printable = high.between(32, 126) & low.between(32, 126)
-    return (
-        rows.withColumns({
-            "hex": F.concat(F.lit("0x"), F.lpad(F.hex("u16"), 4, "0")),
-            "s16": b.sign_extend(F.col("u16"), 16),
-            "ascii_pair": F.when(printable, F.concat(F.chr(high), F.chr(low))),
-        })
-        .join(F.broadcast(labels), F.col("reg") == F.col("label_reg"), "left")
-        .withColumn("label", F.coalesce("label", F.lit("")))
-        .drop("label_reg")
-    )
+    u16 = F.col("u16")
+    return _labelled(rows.withColumns({
+        "hex": _hex(u16),
+        "s16": b.sign_extend(u16, 16),
+        "ascii_pair": F.when(_printable(u16), _pair(u16)),
+    }))
 
 
 def register_profile(snapshots: DataFrame, registers: str = "registers") -> DataFrame:
-    """The dump reduced to one row per register: ranges seen and how often it is text."""
-    return register_dump(snapshots, registers).groupBy("reg", "label").agg(
+    """The dump reduced to one row per register: ranges seen and how often it is text.
+
+    Only whole numbers are aggregated; texts and labels are made from the few results,
+    which the order of the numbers allows.
+    """
+    rows = snapshots.select(F.explode(registers).alias("reg", "u16"))
+    u16 = F.col("u16")
+    text = F.when(_printable(u16), u16)
+    signed = b.sign_extend(u16, 16)
+    ranges = rows.groupBy("reg").agg(
         F.count(F.lit(1)).alias("polls"),
-        F.min("u16").alias("u16_min"), F.max("u16").alias("u16_max"),
-        F.min("s16").alias("s16_min"), F.max("s16").alias("s16_max"),
-        F.sum(F.col("u16").cast("long")).alias("u16_sum"),
-        F.max("hex").alias("hex_max"),
-        F.count("ascii_pair").alias("ascii_polls"),
-        F.max("ascii_pair").alias("ascii_max"))
+        F.min(u16).alias("u16_min"), F.max(u16).alias("u16_max"),
+        F.min(signed).alias("s16_min"), F.max(signed).alias("s16_max"),
+        F.sum(u16.cast("long")).alias("u16_sum"),
+        F.count(text).alias("ascii_polls"), F.max(text).alias("_text"))
+    return _labelled(ranges.withColumns({
+        "hex_max": _hex(F.col("u16_max")), "ascii_max": _pair(F.col("_text"))}).drop("_text"))

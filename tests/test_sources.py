@@ -131,3 +131,26 @@ def test_sensor(spark):
     assert got[0]["resistance_ohm"] == 107.5 and 19 < got[0]["motor_temp_c"] < 20
     assert got[1]["fault_name"] == "rtd_high|over_under_voltage"
     assert got[1]["motor_temp_c"] is None and got[2]["fault_name"] == "no_signal"
+
+
+def test_register_dump(spark):
+    df = spark.createDataFrame([(1, {21: 0x4142, 113: 0xFFFF, 5: 7})],
+                               "k int, registers map<int,int>")
+    got = {r["reg"]: r for r in registers.register_dump(df).collect()}
+    assert (got[21]["hex"], got[21]["ascii_pair"], got[21]["label"]) == ("0x4142", "AB", "soc")
+    assert (got[113]["s16"], got[113]["ascii_pair"], got[113]["label"]) == (-1, None, "cell 1")
+    assert got[5]["label"] == ""
+    assert registers.register_profile(df).count() == 3
+
+
+def test_flatten_and_registry(spark):
+    from fieldstream.operators import points
+    from fieldstream.plans.components import SOURCES
+
+    df = spark.sql("select 1 as a, named_struct('b', 2, 'c', array(3, 4)) as d")
+    flat = points.flatten(df, max_items=2)
+    assert list(flat) == ["a", "d_b", "d_c_0", "d_c_1"]
+    assert tuple(df.select(*flat.values()).first()) == (1, 2, 3, 4)
+    assert {s.msg_type for s in SOURCES.values()} == {"BMV", "BMS", "RTD", "MPPT"}
+    assert points.packet_lines(
+        df.withColumn("msg_type", F.lit("X")), {"X": lambda: F.lit("mine")}).first()["line"] == "mine"
