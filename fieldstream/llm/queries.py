@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstream.llm import host_rules, language, line_dedup, toxicity
+from fieldstream.llm import host_rules, language, line_dedup, page_text, toxicity
 from fieldstream.llm.common import documents, third
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.train(docs.where(third("doc_id") != 1))
@@ -117,6 +121,7 @@ FROM cut
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_page_text": op1_page_text,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_host_rules": op5_host_rules,
