@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstream.llm import language, line_dedup
-from fieldstream.llm.common import documents, keep, third
+from fieldstream.llm import decontaminate, language, line_dedup, packing, set_join
+from fieldstream.llm.common import documents, keep, maybe_broadcast, third
+from fieldstream.llm.queries import vocabulary
 
 #: SQL has no word for the learned language, the fingerprints and the packing.
 ORACLE_SQL = None
@@ -31,9 +32,43 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts: the one with the least id.
+
+    Texts without words and rows without an id stay. Rows that share an id are one document:
+    it goes when one of its texts is in a group with a lesser id, else one row of it stays.
+    """
+    groups = keep(set_join.link(docs).where(F.col("doc_id").isNotNull())
+                  .groupBy(F.col("doc_id").alias("__id"))
+                  .agg(F.min("component_id").alias("least"), F.count("*").alias("rows")),
+                  "groups")
+    gone = groups.where(F.col("least") < F.col("__id")).select("__id")
+    kept = docs.join(maybe_broadcast(gone, gone.count()), F.col("doc_id") == F.col("__id"),
+                     "left_anti")
+    again = groups.where((F.col("rows") > 1) & (F.col("least") == F.col("__id"))).select("__id")
+    if again.limit(1).count():
+        repeated = F.col("doc_id") == F.col("__id")
+        kept = kept.join(again, repeated, "left_anti").unionByName(
+            kept.join(again, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences: one row per piece of a document."""
+    return packing.pack_documents(docs, vocabulary())
+
+
 STAGES = [
     ("language ID", language_id),
     ("line dedup", line_dedup_stage),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
 ]
 
 

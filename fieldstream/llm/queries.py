@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstream.llm import host_rules, language, line_dedup, page_text, toxicity
+from fieldstream.llm import (
+    decontaminate,
+    host_rules,
+    language,
+    line_dedup,
+    packing,
+    page_text,
+    set_join,
+    token_file,
+    toxicity,
+)
 from fieldstream.llm.common import documents, third
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +99,26 @@ FROM f JOIN bad ON f.source IS NOT DISTINCT FROM bad.source
 """
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the public byte-level BPE that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), vocabulary())
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(documents(spark, sf_dir),
+                              spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.link(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return line_dedup.drop_boilerplate(docs).select(
@@ -120,12 +150,20 @@ SELECT doc_id, coalesce(len(l) - len(k), 0)::BIGINT AS lines_dropped,
 FROM cut
 """
 
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.store_and_read(documents(spark, sf_dir), vocabulary())
+
+
 QUERIES: dict[str, Query] = {
     "op1_page_text": op1_page_text,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_host_rules": op5_host_rules,
+    "op6_packing": op6_packing,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_set_join": op8_set_join,
     "op9_line_dedup": op9_line_dedup,
+    "op10_token_file": op10_token_file,
 }
 
 ORACLES: dict[str, str] = {
