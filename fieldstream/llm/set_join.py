@@ -38,6 +38,7 @@ LEAST = 4            # smaller sets have no similar set but equal ones
 MANY = 16            # a key with more sets is compared with its centre only
 SKETCH_BITS = 1024
 KEYS_A_BUCKET = 1_000_000
+KEYS_AT_ONCE = 400_000  # keys that a task packs at once
 U64 = np.uint64
 
 LISTS = "list_id long, rep long, center long, inner boolean, room int, hot boolean"
@@ -201,18 +202,59 @@ def _group(order_key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], order_key[1:] != order_key[:-1]]))
 
 
+def _packed(parts: list[tuple], buckets: int) -> pa.RecordBatch:
+    """One row per bucket (and per bucket of hot keys) of some emitted keys."""
+    rows: list[tuple] = []
+    key, rep, inner, room = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    start = _group(key[order])
+    count = np.diff(np.append(start, len(key)))
+    hot = np.flatnonzero(count > MANY)
+    gone = np.zeros(len(key), dtype=bool)
+    flag = inner.astype(np.uint8)
+    for g in hot.tolist():
+        at = order[start[g]:start[g] + count[g]]
+        own = at[inner[at]]
+        if not len(own):
+            continue
+        center = own[np.argmin(rep[own])]
+        gone[at] = True
+        gone[center] = False
+        flag[center] |= 2
+        to = ((K.mix(rep[at].view(U64) ^ key[at]) >> U64(40)) % U64(buckets)).astype(np.int64)
+        for b in np.unique(to).tolist():
+            mine = at[to == b]
+            rows.append((b, 1, np.append(key[mine], rep[center].view(U64)).tobytes(),
+                         rep[mine].tobytes(), flag[mine].tobytes(), room[mine].tobytes()))
+    left = np.flatnonzero(~gone)
+    bucket = ((key[left] >> U64(40)) % U64(buckets)).astype(np.int32)
+    by = np.argsort(bucket, kind="stable")
+    left, bucket = left[by], bucket[by]
+    edge = np.append(_group(bucket), len(bucket))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        mine = left[a:b]
+        rows.append((int(bucket[a]), 0, (key[mine] & U64(0xFFFFFFFF)).astype(np.uint32)
+                     .tobytes(), rep[mine].tobytes(), flag[mine].tobytes(),
+                     room[mine].tobytes()))
+    return pa.RecordBatch.from_pandas(pd.DataFrame(
+        rows, columns=["bucket", "kind", "keys", "reps", "flags", "rooms"]),
+        schema=pa.schema([("bucket", pa.int32()), ("kind", pa.int32()),
+                          ("keys", pa.binary()), ("reps", pa.binary()),
+                          ("flags", pa.binary()), ("rooms", pa.binary())]))
+
+
 def _spread_keys(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, kind, keys, reps, flags, rooms): the keys of all sets as packed arrays.
 
     A task emits a set once, however many copies it reads. A key that more than MANY sets
-    of one batch share goes on as its centre alone (kind 0, flag 2); its sets go, with that
+    of one pack share goes on as its centre alone (kind 0, flag 2); its sets go, with that
     centre, to buckets of their own choice (kind 1), so no bucket gets a hot key whole.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        parts: list[tuple] = []
+        size = 0
         for batch in batches:
-            rows = []
-            parts = []
             for _, sets in _sets(batch.column(0)):
                 ids, _ = class_ids(sets)
                 fresh = []
@@ -220,48 +262,15 @@ def _spread_keys(docs: DataFrame, buckets: int) -> DataFrame:
                     if len(sets[i]) >= LEAST and c not in seen:
                         seen.add(c)
                         fresh.append(i)
-                if fresh:
-                    got = set_keys([sets[i] for i in fresh], ids[fresh])
-                    if got is not None:
-                        parts.append(got)
-            if not parts:
-                continue
-            key, rep, inner, room = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(key, kind="stable")
-            start = _group(key[order])
-            count = np.diff(np.append(start, len(key)))
-            hot = np.flatnonzero(count > MANY)
-            gone = np.zeros(len(key), dtype=bool)
-            flag = inner.astype(np.uint8)
-            for g in hot.tolist():
-                at = order[start[g]:start[g] + count[g]]
-                own = at[inner[at]]
-                if not len(own):
-                    continue
-                center = own[np.argmin(rep[own])]
-                gone[at] = True
-                gone[center] = False
-                flag[center] |= 2
-                to = ((K.mix(rep[at].view(U64) ^ key[at]) >> U64(40)) % U64(buckets)).astype(np.int64)
-                for b in np.unique(to).tolist():
-                    mine = at[to == b]
-                    rows.append((b, 1, np.append(key[mine], rep[center].view(U64)).tobytes(),
-                                 rep[mine].tobytes(), flag[mine].tobytes(), room[mine].tobytes()))
-            left = np.flatnonzero(~gone)
-            bucket = ((key[left] >> U64(40)) % U64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            left, bucket = left[by], bucket[by]
-            edge = np.append(_group(bucket), len(bucket))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                mine = left[a:b]
-                rows.append((int(bucket[a]), 0, (key[mine] & U64(0xFFFFFFFF)).astype(np.uint32)
-                             .tobytes(), rep[mine].tobytes(), flag[mine].tobytes(),
-                             room[mine].tobytes()))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(
-                rows, columns=["bucket", "kind", "keys", "reps", "flags", "rooms"]),
-                schema=pa.schema([("bucket", pa.int32()), ("kind", pa.int32()),
-                                  ("keys", pa.binary()), ("reps", pa.binary()),
-                                  ("flags", pa.binary()), ("rooms", pa.binary())]))
+                got = set_keys([sets[i] for i in fresh], ids[fresh]) if fresh else None
+                if got is not None:
+                    parts.append(got)
+                    size += len(got[0])
+                if size >= KEYS_AT_ONCE:
+                    yield _packed(parts, buckets)
+                    parts, size = [], 0
+        if parts:
+            yield _packed(parts, buckets)
 
     return docs.mapInArrow(
         run, "bucket int, kind int, keys binary, reps binary, flags binary, rooms binary")
