@@ -39,6 +39,7 @@ MANY = 16            # a key with more sets is compared with its centre only
 SKETCH_BITS = 1024
 KEYS_A_BUCKET = 1_000_000
 KEYS_AT_ONCE = 400_000  # keys that a task packs at once
+TILE = 2048          # sets of one list that meet another such tile in a group
 U64 = np.uint64
 
 LISTS = "list_id long, rep long, center long, inner boolean, room int, hot boolean"
@@ -121,7 +122,9 @@ def _emit(sets: list[np.ndarray], reps: np.ndarray, bands: np.ndarray, inner: bo
     double = place < u[cell_owner]
     risk = np.bincount(cell_owner, ((held == 0) * (1 + double) + ((held == 1) & double))
                        .astype(np.float64), minlength=len(sets)).astype(np.int64)
-    room = np.clip(margin - risk, -1, 120)
+    room = margin - risk
+    # A lost key of a band with deletions may stand for a segment that is worth two.
+    room = np.clip(np.where((u > 0) & (room > 0), room // 2, room), -1, 120)
     name = K.mix(place.astype(U64) * U64(0xA0761D6478BD642F) + tag[cell_owner])
     full = held > 0
     keys, owners = [K.mix(sums[full] ^ name[full])], [cell_owner[full]]
@@ -276,8 +279,9 @@ def _spread_keys(docs: DataFrame, buckets: int) -> DataFrame:
         run, "bucket int, kind int, keys binary, reps binary, flags binary, rooms binary")
 
 
-def _hot_list(bucket: int, key: np.ndarray) -> np.ndarray:
-    return K.mix(key.astype(U64) + U64(bucket) * U64(0x9E3779B97F4A7C15) + U64(3)).view(np.int64)
+def _hot_list(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return K.mix(key.astype(U64) + bucket.astype(U64) * U64(0x9E3779B97F4A7C15)
+                 + U64(3)).view(np.int64)
 
 
 def _lists(spread: DataFrame, buckets: int) -> DataFrame:
@@ -290,9 +294,7 @@ def _lists(spread: DataFrame, buckets: int) -> DataFrame:
         for i in np.flatnonzero(kinds == 1).tolist():
             key = np.frombuffer(columns["keys"][i], U64)
             rep = np.frombuffer(columns["reps"][i], np.int64)
-            home = ((key[:-1] >> U64(40)) % U64(buckets)).astype(U64)
-            ids = K.mix((key[:-1] & U64(0xFFFFFFFF)) + home * U64(0x9E3779B97F4A7C15)
-                        + U64(3)).view(np.int64)
+            ids = _hot_list((key[:-1] >> U64(40)) % U64(buckets), key[:-1] & U64(0xFFFFFFFF))
             out.append((ids, rep, np.full(len(rep), key[-1:].view(np.int64)[0]),
                         (np.frombuffer(columns["flags"][i], np.uint8) & 1).astype(bool),
                         np.frombuffer(columns["rooms"][i], np.int8).astype(np.int32),
@@ -326,7 +328,7 @@ def _lists(spread: DataFrame, buckets: int) -> DataFrame:
                 hot = (count > MANY) | (np.bitwise_or.reduceat(flag, start) & 2 > 0)
                 small = K.mix(np.add.reduceat(K.mix(rep.view(U64)), start)
                               + count.astype(U64)).view(np.int64)
-                ids = np.where(hot, _hot_list(bucket, key[start]), small)
+                ids = np.where(hot, _hot_list(np.full(len(start), bucket), key[start]), small)
                 of = np.repeat(np.arange(len(start)), count)
                 good = (((flag[start] & 1) > 0) & ((count > 1) | hot))[of]
                 first = np.zeros(len(key), bool)
@@ -420,6 +422,85 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame,
     return found.groupBy("a", "part").applyInArrow(compare, "a long, b long")
 
 
+def _torn(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(list_id, rep, inner, c) of the lists whose sets are in several components."""
+    marked = (met.join(found.withColumnRenamed("node", "__node"),
+                       F.col("rep") == F.col("__node"), "left")
+              .select("list_id", "rep", "inner", F.coalesce("component", "rep").alias("c")))
+    several = (marked.groupBy("list_id").agg(F.min("c").alias("x"), F.max("c").alias("y"))
+               .where("x <> y").select(F.col("list_id").alias("__list")))
+    return marked.join(several, F.col("list_id") == F.col("__list"), "left_semi")
+
+
+def _cross(torn: DataFrame) -> DataFrame:
+    """All pairs of a list's sets that are in different components."""
+    other = torn.toDF("__list", "r2", "i2", "c2")
+    return (torn.join(other, F.col("list_id") == F.col("__list"))
+            .where((F.col("rep") < F.col("r2")) & (F.col("c") != F.col("c2"))
+                   & (F.col("inner") | F.col("i2")))
+            .select(F.col("rep").alias("a"), F.col("r2").alias("b")))
+
+
+def _near_in_lists(torn: DataFrame, classes: DataFrame, every: bool) -> DataFrame:
+    """Pairs of hot lists' sets in different components that the parities do not rule out.
+
+    All sets of a list are compared by their parities (one bit per shingle cell, exact lower
+    bound of the difference) inside tasks. Lists above TILE sets are cut into tiles, a pair
+    of tiles is one group, so no group outgrows two tiles. Without ``every`` a set gives only
+    its nearest pair of a group.
+    """
+    size = torn.groupBy(F.col("list_id").alias("__list")).agg(
+        F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = (torn.join(size, F.col("list_id") == F.col("__list"))
+            .join(classes.select(F.col("a").alias("__a"), "n", "sketch"),
+                  F.col("rep") == F.col("__a"))
+            .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")))
+    packs = max(1, torn.count() // (4 * TILE))
+    own = F.pmod(F.xxhash64("list_id"), F.lit(packs))
+    pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
+        F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
+    dealt = rows.withColumn("__p", F.explode(pair)).select(
+        F.when(F.col("tiles") == 1, own).otherwise(F.col("list_id")).alias("pack"),
+        (F.col("tiles") > 1).alias("cut"), "__p.i", "__p.j", "list_id", "rep", "inner", "c",
+        "n", "sketch", "tile")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("list_id")
+        ids, rep, c, n, tile = (table[k].to_numpy() for k in ("list_id", "rep", "c", "n", "tile"))
+        inner = table["inner"].to_numpy()
+        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), U64).reshape(len(ids), -1)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        edge = np.append(_group(ids), len(ids))
+        found: list[np.ndarray] = []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            left = lo + np.flatnonzero(tile[lo:hi] == i)
+            right = lo + np.flatnonzero(tile[lo:hi] == j)
+            for k in range(0, len(left), 64):
+                x = left[k:k + 64]
+                apart = np.zeros((len(x), len(right)), np.int32)
+                for w in range(bits.shape[1]):
+                    apart += np.bitwise_count(bits[x, w][:, None] ^ bits[right, w][None, :])
+                small = np.minimum(n[x][:, None], n[right][None, :])
+                large = np.maximum(n[x][:, None], n[right][None, :])
+                good = ((NUMERATOR * apart <= (DENOMINATOR - NUMERATOR) * small)
+                        & (DENOMINATOR * small >= NUMERATOR * large)
+                        & (c[x][:, None] != c[right][None, :])
+                        & (inner[x][:, None] | inner[right][None, :]))
+                if not every:
+                    has = np.flatnonzero(good.any(axis=1))
+                    at = np.where(good[has], apart[has], 1 << 20).argmin(axis=1)
+                    found.append(np.stack([rep[x[has]], rep[right[at]]], 1))
+                else:
+                    u, v = np.nonzero(good)
+                    found.append(np.stack([rep[x[u]], rep[right[v]]], 1))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()),
+                         "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return dealt.groupBy("pack", "cut", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of every row.
 
@@ -447,36 +528,32 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     links = keep(verify(stars, named, classes), "star-links")
     found = keep(components(links), "components")
 
-    # Sets that met under a key but are not connected yet: all pairs of a short list, and
+    # Sets that met under a key but are not connected yet: all sets of a short list, and
     # the unsafe sets of a hot one.
     lost = lists.where("hot").groupBy("rep", "inner").agg(
         F.count_distinct("list_id").alias("lost"), F.min("room").alias("room"))
-    unsafe = lost.where(F.col("room") < 2 * F.col("lost")).select(
+    unsafe = lost.where("room < lost").select(
         F.col("rep").alias("__rep"), F.col("inner").alias("__inner"))
-    short = lists.where("not hot")
     hot = lists.where("hot").join(
         unsafe, (F.col("rep") == F.col("__rep")) & (F.col("inner") == F.col("__inner")),
         "left_semi")
-    marked = (short.unionByName(hot)
-              .join(found.withColumnRenamed("node", "__node"),
-                    F.col("rep") == F.col("__node"), "left")
-              .select("list_id", "rep", "inner", F.coalesce("component", "rep").alias("c")))
-    torn = (marked.groupBy("list_id").agg(F.min("c").alias("x"), F.max("c").alias("y"))
-            .where("x <> y").select(F.col("list_id").alias("__list")))
-    apart = keep(marked.join(torn, F.col("list_id") == F.col("__list"), "left_semi"), "torn")
-    other = apart.toDF("__list", "r2", "i2", "c2")
-    rest = (apart.join(other, F.col("list_id") == F.col("__list"))
-            .where((F.col("rep") < F.col("r2")) & (F.col("c") != F.col("c2"))
-                   & (F.col("inner") | F.col("i2")))
-            .select(F.col("rep").alias("a"), F.col("r2").alias("b")).distinct())
-    rest = keep(rest.join(stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b")
-                                       .alias("y")),
-                          (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti"),
-                "rest-pairs")
-    if rest.limit(1).count():
-        more = keep(verify(rest, named, classes), "rest-links")
-        if more.limit(1).count():
-            found = keep(components(links.union(more)), "components")
+    short = lists.where("not hot").select("list_id", "rep", "inner")
+    hot = keep(hot.select("list_id", "rep", "inner"), "hot-lists")
+    tried = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    # First the nearest pairs, which connect most; then all that are left.
+    for every in (False, True):
+        torn = keep(_torn(hot, found), "torn")
+        near = _near_in_lists(torn, classes, every)
+        if not every:
+            near = near.unionByName(_cross(_torn(short, found)))
+        rest = keep(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                    .distinct().join(tried, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")),
+                                     "left_anti"), "rest-pairs")
+        if not rest.limit(1).count():
+            continue
+        links = links.unionByName(keep(verify(rest, named, classes), "rest-links"))
+        found = keep(components(links), "components")
+        tried = tried.unionByName(rest.toDF("x", "y"))
 
     roots = (found.join(classes.select(F.col("a").alias("__a"), "doc"),
                         F.col("node") == F.col("__a"))
