@@ -178,13 +178,25 @@ def _sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the set's shingles in SKETCH_BITS cells: sets that differ in d shingles
-    differ in at most d bits."""
-    odd = np.bincount((K.mix(tokens ^ U64(0x9FB21C651E98DF25)) >> U64(54)).astype(np.int64),
-                      minlength=SKETCH_BITS) & 1
+    """Parity of the set's shingles in cells: sets that differ in d shingles differ in at
+    most d bits. Larger sets have more cells, by powers of four, so the bound stays sharp."""
+    bits = SKETCH_BITS
+    while 2 * bits < 3 * len(tokens) and bits < 1 << 20:
+        bits *= 4
+    cell = (K.mix(tokens ^ U64(0x9FB21C651E98DF25)) & U64(bits - 1)).astype(np.int64)
+    odd = np.bincount(cell, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches brought to the fewest cells among them (cells that meet add up modulo 2)."""
+    size = min(map(len, sketches))
+    out = np.empty((len(sketches), size // 8), U64)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, U64).reshape(-1, size // 8), axis=0)
+    return out
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """(id, n, a, b, sketch) of (id, text): set size, the set's digest and its parities."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,9 +381,11 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame,
 
     @F.arrow_udf("int")
     def apart(x: pa.Array, y: pa.Array) -> pa.Array:
-        one = np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), -1)
-        two = np.frombuffer(b"".join(y.to_pylist()), np.uint8).reshape(len(x), -1)
-        return pa.array(np.bitwise_count(one ^ two).sum(axis=1), pa.int32())
+        out = np.empty(len(x), np.int32)
+        for i, both in enumerate(zip(x.to_pylist(), y.to_pylist())):
+            one, two = _folded(list(both))
+            out[i] = np.bitwise_count(one ^ two).sum()
+        return pa.array(out)
 
     near = keep(
         pairs.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b"))
@@ -468,18 +482,20 @@ def _near_in_lists(torn: DataFrame, classes: DataFrame, every: bool) -> DataFram
         table = table.sort_by("list_id")
         ids, rep, c, n, tile = (table[k].to_numpy() for k in ("list_id", "rep", "c", "n", "tile"))
         inner = table["inner"].to_numpy()
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), U64).reshape(len(ids), -1)
+        sketches = table["sketch"].to_pylist()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         edge = np.append(_group(ids), len(ids))
         found: list[np.ndarray] = []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             left = lo + np.flatnonzero(tile[lo:hi] == i)
             right = lo + np.flatnonzero(tile[lo:hi] == j)
+            bits = _folded(sketches[lo:hi])
             for k in range(0, len(left), 64):
                 x = left[k:k + 64]
                 apart = np.zeros((len(x), len(right)), np.int32)
                 for w in range(bits.shape[1]):
-                    apart += np.bitwise_count(bits[x, w][:, None] ^ bits[right, w][None, :])
+                    apart += np.bitwise_count(
+                        bits[x - lo, w][:, None] ^ bits[right - lo, w][None, :])
                 small = np.minimum(n[x][:, None], n[right][None, :])
                 large = np.maximum(n[x][:, None], n[right][None, :])
                 good = ((NUMERATOR * apart <= (DENOMINATOR - NUMERATOR) * small)
