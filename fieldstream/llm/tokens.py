@@ -27,12 +27,29 @@ class Pieces:
         self.known = pa.array([], pa.large_string())
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
+        self.marks = {x: tokenizer.encode(x, add_special_tokens=False).ids for x in (",", ".")}
 
     def _new(self, pieces: list[str]) -> list[list[int]]:
         got = self.tokenizer.encode_batch_fast([self.before + x for x in pieces],
                                                add_special_tokens=False)
         return [x.ids for x in got]
 
+    def _encode(self, names: list[str]) -> tuple[list[str], list[list[int]]]:
+        """New words without their comma or full stop, and the ids of the names and of those.
+
+        Letters and a closing mark are two words to the encoder, so one word serves for all.
+        """
+        core = [x[:-1] if x[-1:] in (",", ".") and x[:-1].isalpha() else None for x in names]
+        asked = list(dict.fromkeys(x for x in core if x is not None))
+        held = pc.index_in(pa.array(asked, pa.large_string()), value_set=self.known).to_pylist()
+        ids = {x: self.ids[self.at[k]:self.at[k + 1]].tolist()
+               for x, k in zip(asked, held) if k is not None}
+        plain = [x for x, c in zip(names, core) if c is None]
+        extra = sorted({x for x in asked if x not in ids}.difference(plain))
+        ids |= zip(plain + extra, self._new(plain + extra))
+        return extra, [ids[x] if c is None else ids[c] + self.marks[x[-1]]
+                       for x, c in zip(names, core)] + [ids[x] for x in extra]
+
     def lookup(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n + 1 offsets of distinct values."""
         if not len(values):
@@ -43,12 +60,14 @@ class Pieces:
         ids, at = self.ids, self.at
         if len(miss):
             texts = values.take(pa.array(miss))
-            fresh = self._new(texts.to_pylist())
+            names = texts.to_pylist()
+            cores, fresh = self._encode(names)
+            texts = pa.concat_arrays([texts, pa.array(cores, pa.large_string())])
             count = np.fromiter(map(len, fresh), np.int64, len(fresh))
             ids = np.concatenate([ids, np.fromiter(
                 (i for x in fresh for i in x), np.uint32, int(count.sum()))])
             at = np.concatenate([at, at[-1] + np.cumsum(count)])
-            place[miss] = len(self.known) + np.arange(len(miss))
+            place[miss] = len(at) - 1 - len(fresh) + np.arange(len(miss))
             if len(at) - 1 <= MOST_PIECES:
                 self.known = pa.concat_arrays([self.known, texts])
                 self.ids, self.at = ids, at
