@@ -17,7 +17,6 @@ from ..functions.numeric import (
 from ..plans import dimensions as dim
 
 FRAME_BYTES = 8
-SLOTS = 1024     # positions a cell index may take
 
 
 def bmv(df: DataFrame, values: str = "fields") -> DataFrame:
@@ -37,16 +36,17 @@ def bmv(df: DataFrame, values: str = "fields") -> DataFrame:
 def cell_stats(cells: Column) -> Column:
     """Struct of the fitted cells' extremes; NULL members when no cell is fitted.
 
-    Indexes count from 1, and on ties the first cell wins: each extreme is taken over whole
-    numbers that hold the voltage above the position. Written with short lambdas, since
+    Indexes count from 1, and on ties the first cell wins: each extreme is taken over pairs
+    of the voltage and the position, of any number of cells. Written with short lambdas, since
     spelling out every cell makes one method too long for the JVM to compile.
     """
     def fitted(mv):
         return mv >= dim.FITTED_CELL_MV
 
     high = F.transform(cells, lambda mv, i: F.when(
-        fitted(mv), mv.cast("long") * SLOTS + (SLOTS - 1 - i)))
-    low = F.transform(cells, lambda mv, i: F.when(fitted(mv), mv.cast("long") * SLOTS + (i + 1)))
+        fitted(mv), F.struct(mv.alias("mv"), (-i).alias("at"))))
+    low = F.transform(cells, lambda mv, i: F.when(
+        fitted(mv), F.struct(mv.alias("mv"), i.alias("at"))))
     total = F.aggregate(cells, F.lit(0).cast("long"), lambda acc, mv: acc + F.when(
         fitted(mv), mv).otherwise(0))
     return F.struct(
@@ -56,13 +56,13 @@ def cell_stats(cells: Column) -> Column:
 
 def _cell_columns(stats: str) -> list[Column]:
     top, bottom = F.col(f"{stats}.top"), F.col(f"{stats}.bottom")
-    high, low = (F.floor(x / SLOTS).cast("int") for x in (top, bottom))
+    high, low = top["mv"].cast("int"), bottom["mv"].cast("int")
     return [
         high.alias("cell_v_max_mv"),
         low.alias("cell_v_min_mv"),
         (high - low).alias("cell_v_delta_mv"),
-        (SLOTS - top % SLOTS).cast("int").alias("cell_max_idx"),
-        (bottom % SLOTS).cast("int").alias("cell_min_idx"),
+        (1 - top["at"]).cast("int").alias("cell_max_idx"),
+        (1 + bottom["at"]).cast("int").alias("cell_min_idx"),
         F.when(F.col(f"{stats}.fitted") > 0, F.col(f"{stats}.total") / F.lit(1000.0))
         .alias("cell_sum_v"),
     ]

@@ -17,9 +17,10 @@ from ..plans.layouts import EVENT_IDS, LAYOUTS, all_decoded_columns, decoded_col
 NUMERIC = (T.NumericType, T.BooleanType)
 
 
-def flatten(df: DataFrame, max_items: int = 0) -> dict[str, Column]:
+def flatten(df: DataFrame, max_items: int | None = None) -> dict[str, Column]:
     """Flat columns ``a_b`` of nested structs; arrays give ``a_0``, ``a_1``, ... up to
-    ``max_items``, whose number the caller knows. Maps keep their own keys and are left
+    ``max_items``, which the caller has to know; without it a table with an array is
+    refused, as no column list could hold all items. Maps keep their own keys and are left
     to map functions.
     """
     flat: dict[str, Column] = {}
@@ -29,6 +30,8 @@ def flatten(df: DataFrame, max_items: int = 0) -> dict[str, Column]:
             for field in kind:
                 walk(column[field.name], field.dataType, f"{name}_{field.name}")
         elif isinstance(kind, T.ArrayType):
+            if max_items is None:
+                raise ValueError(f"{name} is an array: give max_items, or explode it first")
             for i in range(max_items):
                 walk(F.get(column, F.lit(i)), kind.elementType, f"{name}_{i}")
         else:
@@ -97,19 +100,20 @@ def event_points(events: DataFrame, time: str = "received_us",
             F.coalesce(own, texts),
             F.when(F.col("text").isNotNull(), F.create_map(F.lit("payload"), F.col("text")))
             .otherwise(texts))
-    tag_pairs = [F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"))
-                 for k, v in (tags or {}).items()]
-    tag_pairs.append(F.struct(F.lit("msg_type").alias("key"), F.col("msg_type").alias("value")))
     device = F.col("device_id")
     index = F.lit(None).cast("double")
     if "num" in have:
         device = F.coalesce(device, F.try_element_at("num", F.lit("device_id")).cast("int"))
         index = F.try_element_at("num", F.lit("mppt_index"))
-    tag_pairs.append(F.when(device.isNotNull(), F.struct(
-        F.lit("device_id").alias("key"), device.cast("string").alias("value"))))
-    tag_pairs.append(F.when(index.isNotNull(), F.struct(
-        F.lit("mppt_index").alias("key"),
-        F.concat(F.lit("MPPT_"), index.cast("int").cast("string")).alias("value"))))
+    # The event's own tags win over tags of the caller with the same name.
+    named = {k: F.lit(v) for k, v in (tags or {}).items()}
+    for name, value in (("msg_type", F.col("msg_type")), ("device_id", device.cast("string")),
+                        ("mppt_index", F.concat(F.lit("MPPT_"),
+                                                index.cast("int").cast("string")))):
+        named[name] = F.coalesce(value, named[name]) if name in named else value
+    tag_pairs = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value")))
+                 if k != "msg_type" else F.struct(F.lit(k).alias("key"), v.alias("value"))
+                 for k, v in named.items()]
 
     usable = [F.col(c).isNotNull() for c in ("version", "text") if c in have]
     shaped = events.where(reduce(lambda a, c: a | c, usable)).withColumns({
@@ -127,8 +131,13 @@ def event_points(events: DataFrame, time: str = "received_us",
         F.col("_str").alias("str"), F.col(time).alias("time_us"))
 
 
+def _one_line(text: Column) -> Column:
+    """Line ends as two characters each: a point is one line of the text sink."""
+    return F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
 def _escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"([,= ])", r"\\$1")
+    return _one_line(F.regexp_replace(text, r"([,= ])", r"\\$1"))
 
 
 def _joined(pairs: Column, value) -> Column:
@@ -148,7 +157,7 @@ def line_protocol(points: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Points as text: measurement, tags, fields, nanoseconds; keys sorted."""
     numbers = _joined(F.col("num"), _number_text)
     texts = _joined(F.col("str"), lambda v: F.concat(
-        F.lit('"'), F.regexp_replace(v, r'(["\\])', r"\\$1"), F.lit('"')))
+        F.lit('"'), _one_line(F.regexp_replace(v, r'(["\\])', r"\\$1")), F.lit('"')))
     fields = F.concat_ws(",", F.nullif(numbers, F.lit("")), F.nullif(texts, F.lit("")))
     tags = _joined(F.col("tags"), _escaped)
     return points.select(*keep, F.concat(

@@ -13,20 +13,24 @@ from .timeline import Timeline
 
 def latest_at_ticks(readings: DataFrame, ticks: DataFrame, keys: Sequence[str],
                     values: Sequence[str], time: str = "t_us", tick: str = "tick_us",
-                    limit: int | None = None) -> DataFrame:
+                    limit: int | None = None, tie: str | None = None) -> DataFrame:
     """As-of: the newest reading at or before each tick; readings between are passed over.
 
+    Of readings with one time the one with the largest ``tie`` counts.
+
     Ticks and readings are laid in one time line per key and the last reading is carried
     forward, so there is no join. A tick before the first reading is left out. A silent
     device repeats its last value, which ``staleness_s`` shows.
     """
     reading = readings.select(
         *keys, F.col(time).alias("_at"), F.lit(0).alias("_is_tick"),
+        (F.col(tie) if tie else F.lit(None).cast("long")).alias("_tie"),
         F.struct(F.col(time).alias("seen"), *values).alias("_value"))
     asked = ticks.select(
         *keys, F.col(tick).alias("_at"), F.lit(1).alias("_is_tick"),
+        F.lit(None).cast(reading.schema["_tie"].dataType).alias("_tie"),
         F.lit(None).cast(reading.schema["_value"].dataType).alias("_value"))
-    line = Timeline(reading.unionByName(asked), keys, ["_at", "_is_tick"], limit)
+    line = Timeline(reading.unionByName(asked), keys, ["_at", "_is_tick", "_tie"], limit)
     scanned = line.scan(_latest=("last", F.col("_value"))).rows
     return (
         scanned.where((F.col("_is_tick") == 1) & F.col("_latest").isNotNull())

@@ -360,7 +360,8 @@ def union_all_types(spark, sf):
      "staleness_s double, event_id bigint, current_ma bigint")
 def asof_latest_at_tick(spark, sf):
     return sampling.latest_at_ticks(
-        i.readings(spark, sf), i.ticks(spark, sf), S, ["event_id", "current_ma"])
+        i.readings(spark, sf), i.ticks(spark, sf), S, ["event_id", "current_ma"],
+        tie="event_id")
 
 
 @job("drive_elapsed", "event_id bigint, session_id bigint, elapsed_s bigint")

@@ -530,7 +530,9 @@ oracle("union_all_types", "SELECT * FROM d", *PACKET_CTES)
 
 oracle("asof_latest_at_tick", """
 SELECT k.session_id, tick_us, t_us, (tick_us - t_us) / 1e6 AS staleness_s, event_id, current_ma
-FROM k ASOF JOIN r ON k.session_id = r.session_id AND k.tick_us >= r.t_us""", R,
+FROM k ASOF JOIN (SELECT * FROM r QUALIFY row_number() OVER (
+ PARTITION BY session_id, t_us ORDER BY event_id DESC) = 1) AS r
+ ON k.session_id = r.session_id AND k.tick_us >= r.t_us""", R,
        """k AS (SELECT session_id, unnest(range(floor(lo / 21600000000)::BIGINT * 21600000000,
   hi + 1, 21600000000)) AS tick_us
  FROM (SELECT session_id, min(t_us) AS lo, max(t_us) AS hi FROM e GROUP BY 1) AS g)""")
