@@ -53,6 +53,8 @@ def _letters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     gap = K.NOT_LETTER[raw]
     kept = ~gap
     kept[1:] |= ~gap[:-1]  # the first other byte after a letter
+    first = offsets[:-1][offsets[:-1] < len(raw)]
+    kept[first] = ~gap[first]
     low = K.LOWER[raw]
     low[gap] = 0x20
     before = np.zeros(len(raw) + 1, dtype=np.int64)
