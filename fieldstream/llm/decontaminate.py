@@ -164,6 +164,7 @@ class Index:
                     for n, places in wanted.items():
                         self._windows(rolled, begin, stop, n, width, np.array(places), best[d])
             out.extend([(self.item[i], s, p) for i, (s, p) in sorted(b.items())] for b in best)
+        K.release()
         return out
 
     def _windows(self, rolled: np.ndarray, begin: int, stop: int, n: int, width: int,

@@ -134,7 +134,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield out.filter(pa.array(lettered))
                 at += len(x)
 
-    found = sample.mapInArrow(sparse, "lang string, cells binary, values binary").toArrow()
+    found = sample.mapInArrow(K.tidy(sparse), "lang string, cells binary, values binary").toArrow()
     langs = found["lang"].to_pylist()
     order = sorted(range(len(langs)), key=lambda i: (langs[i], found["cells"][i].as_py()))
     x = np.zeros((len(langs), dims + 1), dtype=np.float32)
@@ -213,6 +213,7 @@ def predict_column(df: DataFrame, model: Model, text: str) -> Column:
                 lettered = np.zeros(len(x), dtype=bool)
             langs.append(np.where(lettered, lang, UNDETERMINED))
             scores.append(np.where(lettered, score, 0.0))
+        K.release()
         return pa.StructArray.from_arrays(
             [pa.array(np.concatenate(langs).tolist(), pa.string()),
              pa.array(np.concatenate(scores).astype(np.float64), pa.float64())],

@@ -209,7 +209,7 @@ def digests(docs: DataFrame) -> DataFrame:
                      pa.array([_sketch(x) if len(x) >= LEAST else None for x in sets],
                               pa.binary())], ["id", "n", "a", "b", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long, sketch binary")
+    return docs.mapInArrow(K.tidy(run), "id long, n long, a long, b long, sketch binary")
 
 
 def _group(order_key: np.ndarray) -> np.ndarray:
@@ -288,7 +288,7 @@ def _spread_keys(docs: DataFrame, buckets: int) -> DataFrame:
             yield _packed(parts, buckets)
 
     return docs.mapInArrow(
-        run, "bucket int, kind int, keys binary, reps binary, flags binary, rooms binary")
+        K.tidy(run), "bucket int, kind int, keys binary, reps binary, flags binary, rooms binary")
 
 
 def _hot_list(bucket: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -356,6 +356,7 @@ def _lists(spread: DataFrame, buckets: int) -> DataFrame:
         # Lists of the same sets, met under several keys of the bucket, are one list; hot keys
         # are counted one by one.
         once = np.unique(np.stack([ids, rep], 1), axis=0, return_index=True)[1]
+        K.release()
         return pa.table([pa.array(x[once], k) for x, k in zip(
             (ids, rep, center, inner, room, hot), kinds_of)], names=names)
 
@@ -422,7 +423,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame,
     # The join is by document; ids that several texts share are told apart by the set's id.
     found = (docs.join(maybe_broadcast(wanted, rows, 1_000_000), docs["id"] == wanted["doc"])
              .select("a", "part", "b", "text")
-             .mapInArrow(read, "a long, part long, b long, tokens binary"))
+             .mapInArrow(K.tidy(read), "a long, part long, b long, tokens binary"))
 
     def compare(group: tuple, table: pa.Table) -> pa.Table:
         b = table["b"].to_pylist()

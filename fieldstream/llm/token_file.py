@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldstream.llm import kernels as K
 from fieldstream.llm.common import maybe_broadcast
 from fieldstream.llm.tokens import Encoder, with_end
 from fieldstream.session import run_dir
@@ -179,7 +180,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
     layout = "id long, n long, crc long, width int, ids binary"
     (docs.select(F.col(id_col).cast("long").alias("id"),
                  F.col(text_col).cast("string").alias("text"))
-     .mapInArrow(encode, layout).write.option("compression", "zstd").parquet(f"{path}/ids"))
+     .mapInArrow(K.tidy(encode), layout).write.option("compression", "zstd").parquet(f"{path}/ids"))
     held = spark.read.schema(layout).parquet(f"{path}/ids")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +246,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
     order = ["id", "crc", "n"]
     (held.repartitionByRange(shards, *order).sortWithinPartitions(*order)
      .select("id", "width", "ids")
-     .mapInArrow(blocks, "shard long, block long, tokens long, data binary")
+     .mapInArrow(K.tidy(blocks), "shard long, block long, tokens long, data binary")
      .write.option("compression", "none").parquet(f"{path}/blocks"))
 
 
@@ -290,7 +291,7 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                     ["shard", "block", "id", "inside", "n", "crc"])
 
     got = stored.select("shard", "block", "data").mapInArrow(
-        decode, "shard long, block long, id long, inside long, n long, crc long")
+        K.tidy(decode), "shard long, block long, id long, inside long, n long, crc long")
     return (got.join(starts, (F.col("shard") == F.col("__s")) & (F.col("block") == F.col("__b")))
             .select(F.col("id").alias(id_col), (F.col("base") + F.col("inside")).alias("start"),
                     F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32")))

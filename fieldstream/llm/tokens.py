@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: At most so many pieces are remembered in a worker; later new ones are encoded each time.
 MOST_PIECES = 2_000_000
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 5 << 20
 
 
 class Pieces:

@@ -156,6 +156,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
         dense[held.cells] = held.weights
         logit = np.fromiter((dense[x].sum() for x in _features(texts, held.bits)), np.float64,
                             len(texts)) + held.bias
+        K.release()
         p = 1.0 / (1.0 + np.exp(-np.clip(held.slope * logit + held.shift, -35, 35)))
         return pa.array(p, pa.float64())
 
