@@ -16,62 +16,97 @@ import pyarrow.compute as pc
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: At most so many pieces are remembered in a worker; later new ones are encoded each time.
 MOST_PIECES = 2_000_000
+#: So many pieces are encoded as one text.
+PIECES_A_TEXT = 256
 SLICE_BYTES = 5 << 20
 
 
 class Pieces:
-    """Ids of pieces that are all encoded with the same text before them."""
+    """Ids of pieces that are all encoded with the same text before them.
+
+    Letters and a closing comma or full stop are two words to the encoder, so the letters
+    are what is remembered and the mark's id is put behind them.
+    """
 
     def __init__(self, tokenizer, before: str):
         self.tokenizer, self.before = tokenizer, before
         self.known = pa.array([], pa.large_string())
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
-        self.marks = {x: tokenizer.encode(x, add_special_tokens=False).ids for x in (",", ".")}
-
-    def _new(self, pieces: list[str]) -> list[list[int]]:
-        got = self.tokenizer.encode_batch_fast([self.before + x for x in pieces],
-                                               add_special_tokens=False)
-        return [x.ids for x in got]
+        single = [tokenizer.encode(x, add_special_tokens=False).ids for x in (",", ".", "\n")]
+        self.comma, self.stop, self.feed = (x[0] if len(x) == 1 else None for x in single)
 
-    def _encode(self, names: list[str]) -> tuple[list[str], list[list[int]]]:
-        """New words without their comma or full stop, and the ids of the names and of those.
+    def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and lengths of pieces.
 
-        Letters and a closing mark are two words to the encoder, so one word serves for all.
+        Pieces without white space are encoded many in a text, a line feed behind each: it
+        is a token of its own there, and no such piece has that token.
         """
-        core = [x[:-1] if x[-1:] in (",", ".") and x[:-1].isalpha() else None for x in names]
-        asked = list(dict.fromkeys(x for x in core if x is not None))
-        held = pc.index_in(pa.array(asked, pa.large_string()), value_set=self.known).to_pylist()
-        ids = {x: self.ids[self.at[k]:self.at[k + 1]].tolist()
-               for x, k in zip(asked, held) if k is not None}
-        plain = [x for x, c in zip(names, core) if c is None]
-        extra = sorted({x for x in asked if x not in ids}.difference(plain))
-        ids |= zip(plain + extra, self._new(plain + extra))
-        return extra, [ids[x] if c is None else ids[c] + self.marks[x[-1]]
-                       for x, c in zip(names, core)] + [ids[x] for x in extra]
+        length = np.zeros(len(pieces), np.int64)
+        alone = np.ones(len(pieces), bool)
+        if self.feed is not None:
+            alone = pc.or_(pc.equal(pieces, ""), pc.match_substring_regex(pieces, WS)).to_numpy(
+                zero_copy_only=False)
+        runs: list[np.ndarray] = []
+        names = pieces.filter(pa.array(~alone)).to_pylist()
+        texts = ["".join([f"{self.before}{x}\n" for x in names[i:i + PIECES_A_TEXT]])
+                 for i in range(0, len(names), PIECES_A_TEXT)]
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.concatenate([np.zeros(0, np.uint32), *[np.array(x.ids, np.uint32) for x in got]])
+        feeds = np.flatnonzero(flat == self.feed) if names else np.zeros(0, np.int64)
+        length[~alone] = np.diff(feeds, prepend=-1) - 1
+        runs.append(np.delete(flat, feeds))
+        if alone.any():
+            got = self.tokenizer.encode_batch_fast(
+                [self.before + x for x in pieces.filter(pa.array(alone)).to_pylist()],
+                add_special_tokens=False)
+            length[alone] = [len(x.ids) for x in got]
+            runs += [np.array(x.ids, np.uint32) for x in got]
+        # The ids lie in the order (many in a text, then alone); bring them to that of pieces.
+        order = np.argsort(alone, kind="stable")
+        start = np.empty(len(pieces), np.int64)
+        start[order] = np.cumsum(length[order]) - length[order]
+        return gather(np.concatenate(runs), start, length)[0], length
+
+    def _find(self, values: pa.Array) -> np.ndarray:
+        found = pc.index_in(values, value_set=self.known)
+        return found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     def lookup(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and n + 1 offsets of distinct values."""
         if not len(values):
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        found = pc.index_in(values, value_set=self.known)
-        place = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        mark = np.zeros(len(values), np.int64)
+        cores = values
+        if self.comma is not None and self.stop is not None:
+            letters = pc.utf8_slice_codeunits(values, 0, -1)
+            worded = pc.utf8_is_alpha(letters).to_numpy(zero_copy_only=False)
+            for sign, number in ((",", 1), (".", 2)):
+                mark[worded & pc.ends_with(values, sign).to_numpy(zero_copy_only=False)] = number
+            cores = pc.if_else(pa.array(mark > 0), letters, values)
+        coded = cores.dictionary_encode()
+        words, index = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        place = self._find(words)
         miss = np.flatnonzero(place < 0)
         ids, at = self.ids, self.at
         if len(miss):
-            texts = values.take(pa.array(miss))
-            names = texts.to_pylist()
-            cores, fresh = self._encode(names)
-            texts = pa.concat_arrays([texts, pa.array(cores, pa.large_string())])
-            count = np.fromiter(map(len, fresh), np.int64, len(fresh))
-            ids = np.concatenate([ids, np.fromiter(
-                (i for x in fresh for i in x), np.uint32, int(count.sum()))])
+            texts = words.take(pa.array(miss))
+            fresh, count = self._new(texts)
+            place[miss] = len(at) - 1 + np.arange(len(miss))
+            ids = np.concatenate([ids, fresh])
             at = np.concatenate([at, at[-1] + np.cumsum(count)])
-            place[miss] = len(at) - 1 - len(fresh) + np.arange(len(miss))
             if len(at) - 1 <= MOST_PIECES:
                 self.known = pa.concat_arrays([self.known, texts])
                 self.ids, self.at = ids, at
-        return gather(ids, at[place], at[place + 1] - at[place])
+        place = place[index]
+        length = at[place + 1] - at[place]
+        bare, edge = gather(ids, at[place], length)
+        marked = np.flatnonzero(mark)
+        if not len(marked):
+            return bare, edge
+        sign = np.array([self.comma, self.stop], np.uint32)[mark[marked] - 1]
+        return (np.insert(bare, edge[marked + 1], sign),
+                edge + np.concatenate([[0], np.cumsum(mark > 0)]))
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray
