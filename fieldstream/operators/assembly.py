@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.layouts import BATCH_MAX_BYTES, FRAME_PACKET_LIMIT
@@ -40,38 +40,68 @@ def next_to_send(df: DataFrame, keys: Sequence[str], arrival: str = "arrival",
     return first.select(*keys, "_f.*")
 
 
-class _RoundRobin(FiniteState):
-    """State: the slot position at which the next tick starts.
+class _Relay(FiniteState):
+    """A tick starts where the tick before left off; ``_leads`` says where each start leads."""
 
-    One row is one tick with its slots in a stable order; each slot holds the size of its
-    due packet or 0. The tick looks at every slot once from the start position until four
-    packets are picked. A packet that would exceed the frame ends the tick, and the start
-    position still moves past it.
-    """
-
-    inputs = ("_sizes",)
-    output = "picked array<int>"
+    inputs = ("_leads",)
+    output = "_start int"
 
-    def __init__(self, slots: int, packets: int, frame_bytes: int):
+    def __init__(self, slots: int):
         self.states = list(range(max(slots, 1)))
-        self.packets, self.frame_bytes = packets, frame_bytes
 
     def step(self, state, row):
-        sizes = row[0]
-        n = len(sizes)
-        if n == 0:
-            return state, None
-        at, checked, used, picked = state % n, 0, 2, []
-        while checked < n and len(picked) < self.packets:
-            slot, at = at, (at + 1) % n
-            checked += 1
-            if not sizes[slot]:
-                continue
-            if used + 1 + sizes[slot] > self.frame_bytes:
-                break
-            picked.append(slot)
-            used += 1 + sizes[slot]
-        return at, ((picked,) if picked else None)
+        # A summary also asks for starts beyond a ring that is still short; none is reached.
+        start = state % len(row[0])
+        return row[0][start], (start,)
+
+
+def _totals(values: Column) -> Column:
+    """Sums of the first 0, 1, ... entries of a ring that is walked twice."""
+    twice = F.concat(values, values)
+    return F.transform(F.sequence(F.lit(0), F.size(twice)), lambda i: F.aggregate(
+        F.slice(twice, F.lit(1), i), F.lit(0), lambda total, x: total + x))
+
+
+class _Ring:
+    """Which entries of a ring a frame takes when it starts at a given one.
+
+    An entry is looked at while the due ones before it are fewer than ``packets`` and fit
+    the frame; it is taken if it is due and still fits.
+    """
+
+    def __init__(self, packets: int, frame_bytes: int):
+        self.packets, self.room = packets, frame_bytes - 2
+        self.due, self.used = F.col("_due"), F.col("_used")
+        self.steps = F.sequence(F.lit(0), F.size("_sizes") - 1)
+
+    @staticmethod
+    def totals() -> dict[str, Column]:
+        return {
+            "_due": _totals(F.transform("_sizes", lambda n: (n > 0).cast("int"))),
+            "_used": _totals(F.transform("_sizes", lambda n: F.when(n > 0, n + 1).otherwise(0)))}
+
+    def _open(self, start: Column, i: Column) -> Column:
+        return ((F.get(self.due, start + i) - F.get(self.due, start) < self.packets)
+                & (F.get(self.used, start + i) - F.get(self.used, start) <= self.room))
+
+    def leads(self) -> Column:
+        def after(start):
+            return F.size(F.filter(self.steps, lambda i: self._open(start, i)))
+
+        return F.transform(self.steps, lambda a: (a + after(a)) % F.size("_sizes"))
+
+    def taken(self, start: Column) -> Column:
+        """Positions in the ring, in the order taken."""
+        found = F.filter(self.steps, lambda i: self._open(start, i) & (
+            F.get(self.due, start + i + 1) > F.get(self.due, start + i)) & (
+            F.get(self.used, start + i + 1) - F.get(self.used, start) <= self.room))
+        return F.transform(found, lambda i: (start + i) % F.size("_sizes"))
+
+
+def slot_rejects(due: DataFrame, slot: str = "slot", slots: int = 12) -> DataFrame:
+    """Rows whose slot number is outside the slot dimension, with a reason; none is packed."""
+    bad = F.col(slot).isNull() | (F.col(slot) < 0) | (F.col(slot) >= slots)
+    return due.where(bad).withColumn("reject_reason", F.lit("slot number out of range"))
 
 
 def pick_batches(due: DataFrame, session: Sequence[str], tick: str = "tick",
@@ -80,21 +110,33 @@ def pick_batches(due: DataFrame, session: Sequence[str], tick: str = "tick",
                  limit: int | None = None) -> DataFrame:
     """Which due packets ride in each tick's frame, in order of ``frame_pos``.
 
-    ``due`` has one row per tick and cached slot (numbered from 0 in order of first
-    appearance, at most ``slots`` of them); a size of 0 or NULL means nothing is due. A
-    row beyond that number would break the bound on the state, so it is refused.
+    ``due`` has rows of a tick and a slot (0 to ``slots`` - 1; others are in
+    ``slot_rejects``); a size of 0 or NULL means nothing is due. Every tick goes round all
+    slots that its session has seen so far, in order of first tick, then number.
     """
-    checked = due.withColumn(slot, F.when(
-        (F.col(slot) >= 0) & (F.col(slot) < slots), F.col(slot)).otherwise(
-        F.raise_error(F.lit("slot number out of range"))))
-    per_slot = checked.groupBy(*session, tick, slot).agg(F.max(size).alias("_size"))
-    ticks = per_slot.groupBy(*session, tick).agg(F.transform(
-        F.sort_array(F.collect_list(F.struct(slot, F.coalesce("_size", F.lit(0)).alias("n")))),
-        lambda s: s["n"].cast("int")).alias("_sizes"))
-    frames = run_fold(
-        Timeline(ticks, session, [tick], limit), _RoundRobin(slots, packets, frame_bytes),
-        ["_sizes"])
+    per_slot = (due.where((F.col(slot) >= 0) & (F.col(slot) < slots))
+                .groupBy(*session, tick, slot)
+                .agg(F.coalesce(F.max(size), F.lit(0)).cast("int").alias("_size")))
+    ticks = per_slot.groupBy(*session, tick).agg(F.map_from_entries(F.collect_list(
+        F.struct(slot, "_size"))).alias("_sent"))
+    seen = per_slot.groupBy(*session, slot).agg(F.min(tick).alias("_since"))
+    rings = seen.groupBy(*session).agg(F.sort_array(F.collect_list(
+        F.struct("_since", F.col(slot).alias("slot")))).alias("_ring"))
+    known = F.filter("_ring", lambda x: x["_since"] <= F.col(tick))
+    ring = _Ring(packets, frame_bytes)
+    laid = (
+        ticks.join(rings, list(session))
+        .withColumn("_slots", F.transform(known, lambda x: x["slot"]))
+        .withColumn("_sizes", F.transform("_slots", lambda x: F.coalesce(
+            F.try_element_at("_sent", x), F.lit(0))))
+        .withColumns(ring.totals()).withColumn("_leads", ring.leads())
+        .select(*session, tick, "_slots", "_sizes", "_leads"))
+    started = run_fold(Timeline(laid, session, [tick], limit), _Relay(slots),
+                       ["_slots", "_sizes"])
     return (
-        frames.select(*session, tick, "_sizes", F.posexplode("picked").alias("frame_pos", slot))
-        .withColumn(size, F.get("_sizes", F.col(slot))).drop("_sizes")
+        started.withColumns(ring.totals())
+        .select(*session, tick, "_slots", "_sizes",
+                F.posexplode(ring.taken(F.col("_start"))).alias("frame_pos", "_at"))
+        .select(*session, tick, "frame_pos", F.get("_slots", F.col("_at")).alias(slot),
+                F.get("_sizes", F.col("_at")).alias(size))
     )

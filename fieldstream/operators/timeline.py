@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 GROUP_ROWS = 2_000_000      # rows one task may take for a single key
 SLICE_FACTOR = 4            # slices are this much smaller, against uneven spacing
-BROADCAST_KEYS = 1_000_000  # hot keys that may be broadcast (some 50 MB)
 SLICE = "_slice"
 
 
@@ -79,9 +78,8 @@ class Timeline:
             n_hot = hot.count()
         self.split = n_hot > 0
         if self.split:
-            side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
             df = (
-                df.join(side, self.keys, "left")
+                df.join(hot, self.keys, "left")
                 .withColumn(SLICE, F.coalesce(
                     F.floor((F.col(self.order[0]) - F.col("_low")) / F.col("_width")), F.lit(-1)))
                 .drop("_low", "_width")
@@ -152,7 +150,8 @@ class Timeline:
             if kind == "lag":
                 return F.coalesce(own, carry)["v"] if self.split else own["v"]
             if kind == "before":
-                return F.coalesce(own, F.lit(0)) + F.coalesce(carry.cast("long"), F.lit(0))
+                total = F.coalesce(own, F.lit(0))
+                return total + F.coalesce(carry, F.lit(0)) if self.split else total
             if kind in ("sum", "count"):
                 if not self.split:
                     return own

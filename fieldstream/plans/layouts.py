@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
+
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # --- fixed values -----------------------------------------------------------
 PROTOCOL_VERSION = 3
@@ -23,57 +26,49 @@ EVENT_TYPES = {
     6: "DEVICE_STATUS",
 }
 
-# One line per wire field, in bit order: name, integer format, scale, display divisor.
+# Every wire field: type, bit, name, integer format, scale, display divisor.
 # Formats: b/B 1 byte, h/H 2 bytes, i/I 4 bytes; lower case is signed; big endian.
-LAYOUT_TEXT = {
-    "BMV": """
-        voltage_mv H 1 1000
-        current_ma i 1 1000
-        power_w h 1 1
-        charge_state B 1 1
-        alarm B 1 1
-        elapsed_s I 1 1
-        peak_current_ma i 1 1000
-    """,
-    "MPPT": """
-        pv_voltage_v H 100 1
-        pv_current_a h 2000 1
-        pv_power_w h 100 1
-        battery_voltage_v H 100 1
-        battery_current_a h 2000 1
-        mode B 1 1
-        fault B 1 1
-        enabled B 1 1
-        ambient_temp_c b 1 1
-        heatsink_temp_c b 1 1
-        mppt_index B 1 1
-        packet_id B 1 1
-        elapsed_s I 1 1
-    """,
-    "BMS": """
-        battery_voltage_v H 100 1
-        battery_current_a h 100 1
-        soc_pct B 1 1
-        soh_pct B 1 1
-        cell_v_max_mv H 1 1
-        cell_v_min_mv H 1 1
-        cell_max_idx B 1 1
-        cell_min_idx B 1 1
-        cell_sum_v H 100 1
-        temp_max_c b 1 1
-        temp_avg_c b 1 1
-        remaining_ah H 10 1
-        warning_flags H 1 1
-        protection_flags H 1 1
-        error_code H 1 1
-        elapsed_s I 1 1
-    """,
-    "RTD": """
-        motor_temp_c h 100 1
-        resistance_ohm H 100 1
-        fault B 1 1
-    """,
-}
+FIELD_ROWS = (
+    ("BMV", 0, "voltage_mv", "H", 1, 1000),
+    ("BMV", 1, "current_ma", "i", 1, 1000),
+    ("BMV", 2, "power_w", "h", 1, 1),
+    ("BMV", 3, "charge_state", "B", 1, 1),
+    ("BMV", 4, "alarm", "B", 1, 1),
+    ("BMV", 5, "elapsed_s", "I", 1, 1),
+    ("BMV", 6, "peak_current_ma", "i", 1, 1000),
+    ("MPPT", 0, "pv_voltage_v", "H", 100, 1),
+    ("MPPT", 1, "pv_current_a", "h", 2000, 1),
+    ("MPPT", 2, "pv_power_w", "h", 100, 1),
+    ("MPPT", 3, "battery_voltage_v", "H", 100, 1),
+    ("MPPT", 4, "battery_current_a", "h", 2000, 1),
+    ("MPPT", 5, "mode", "B", 1, 1),
+    ("MPPT", 6, "fault", "B", 1, 1),
+    ("MPPT", 7, "enabled", "B", 1, 1),
+    ("MPPT", 8, "ambient_temp_c", "b", 1, 1),
+    ("MPPT", 9, "heatsink_temp_c", "b", 1, 1),
+    ("MPPT", 10, "mppt_index", "B", 1, 1),
+    ("MPPT", 11, "packet_id", "B", 1, 1),
+    ("MPPT", 12, "elapsed_s", "I", 1, 1),
+    ("BMS", 0, "battery_voltage_v", "H", 100, 1),
+    ("BMS", 1, "battery_current_a", "h", 100, 1),
+    ("BMS", 2, "soc_pct", "B", 1, 1),
+    ("BMS", 3, "soh_pct", "B", 1, 1),
+    ("BMS", 4, "cell_v_max_mv", "H", 1, 1),
+    ("BMS", 5, "cell_v_min_mv", "H", 1, 1),
+    ("BMS", 6, "cell_max_idx", "B", 1, 1),
+    ("BMS", 7, "cell_min_idx", "B", 1, 1),
+    ("BMS", 8, "cell_sum_v", "H", 100, 1),
+    ("BMS", 9, "temp_max_c", "b", 1, 1),
+    ("BMS", 10, "temp_avg_c", "b", 1, 1),
+    ("BMS", 11, "remaining_ah", "H", 10, 1),
+    ("BMS", 12, "warning_flags", "H", 1, 1),
+    ("BMS", 13, "protection_flags", "H", 1, 1),
+    ("BMS", 14, "error_code", "H", 1, 1),
+    ("BMS", 15, "elapsed_s", "I", 1, 1),
+    ("RTD", 0, "motor_temp_c", "h", 100, 1),
+    ("RTD", 1, "resistance_ohm", "H", 100, 1),
+    ("RTD", 2, "fault", "B", 1, 1),
+)
 # --- end of fixed values ----------------------------------------------------
 
 SIZES = {"b": 1, "h": 2, "i": 4}
@@ -113,15 +108,8 @@ class Field:
         return self.scale * self.display_div
 
 
-def _read(msg_type: str, text: str) -> tuple[Field, ...]:
-    rows = [line.split() for line in text.split("\n") if line.strip()]
-    return tuple(
-        Field(msg_type, i, name, fmt, int(scale), int(div))
-        for i, (name, fmt, scale, div) in enumerate(rows)
-    )
-
-
-LAYOUTS: dict[str, tuple[Field, ...]] = {t: _read(t, text) for t, text in LAYOUT_TEXT.items()}
+LAYOUTS: dict[str, tuple[Field, ...]] = {
+    t: tuple(Field(*row) for row in FIELD_ROWS if row[0] == t) for t in MSG_TYPES.values()}
 TYPE_IDS = {name: number for number, name in MSG_TYPES.items()}
 EVENT_IDS = {name: number for number, name in EVENT_TYPES.items()}
 
@@ -131,17 +119,20 @@ DERIVED = {
 }
 
 
-def wire_columns(msg_type: str) -> tuple[str, ...]:
-    return tuple(f.name for f in LAYOUTS[msg_type])
+#: What a decoded packet of each type carries: its wire fields, then the derived columns.
+SCHEMAS: dict[str, StructType] = {
+    t: StructType([StructField(name, DoubleType()) for name in
+                   [f.name for f in fields] + [d[0] for d in DERIVED.get(t, ())]])
+    for t, fields in LAYOUTS.items()}
 
 
 def decoded_columns(msg_type: str) -> tuple[str, ...]:
-    return wire_columns(msg_type) + tuple(d[0] for d in DERIVED.get(msg_type, ()))
+    return tuple(SCHEMAS[msg_type].names)
 
 
 def all_decoded_columns() -> tuple[str, ...]:
     """Every column any type can carry, in the order first met."""
-    return tuple(dict.fromkeys(c for t in LAYOUTS for c in decoded_columns(t)))
+    return tuple(dict.fromkeys(chain.from_iterable(s.names for s in SCHEMAS.values())))
 
 
 EVENT_META_COLUMNS = (

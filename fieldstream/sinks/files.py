@@ -34,7 +34,7 @@ def _blankable(df: DataFrame, name: str) -> Column:
 def device_rows(readings: DataFrame, device_type: str, time: str = "t_us",
                 keep: Sequence[str] = ()) -> DataFrame:
     """The declared columns of one device type: blanks where absent, extras left out."""
-    names = dim.device_csv_columns()[device_type]
+    names = dim.DEVICE_CSV_COLUMNS[device_type]
     return readings.where(F.col("device_type") == device_type).select(
         *keep, _iso_us(time).alias("timestamp"),
         F.col("device_id").cast("string").alias("device_id"),

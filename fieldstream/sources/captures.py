@@ -77,7 +77,7 @@ def bus_frames(df: DataFrame) -> DataFrame:
     ids = dim.bus_id_table(df.sparkSession)
     return (
         df.where(~F.col("is_error") & ~F.col("is_remote"))
-        .where(F.col("can_id").isin(*dim.bus_ids()))
+        .where(F.col("can_id").isin(*dim.BUS_IDS))
         .join(F.broadcast(ids), "can_id", "inner")
         .drop("is_error", "is_remote")
     )

@@ -240,16 +240,18 @@ def test_priority(data, limit):
 def test_round_robin(spark, limit):
     rng = random.Random(4)
     due = [(s, t, slot, rng.choice([0, 0, 20, 45, 60, 90]))
-           for s in (1, 1, 2) for t in range(60) for slot in range(rng.randrange(1, 9))]
+           for s in (1, 1, 2) for t in range(60) for slot in rng.sample(range(9), rng.randrange(1, 6))]
     due = list({(s, t, slot): (s, t, slot, n) for s, t, slot, n in due}.values())
     df = spark.createDataFrame(due, "session_id int, tick long, slot int, packet_bytes int")
     want = []
     for session in (1, 2):
-        start = 0
+        start, ring = 0, []
         for tick in range(60):
-            sizes = [n for s, t, _, n in sorted(due) if (s, t) == (session, tick)]
-            if not sizes:
+            now = {k: n for s, t, k, n in sorted(due) if (s, t) == (session, tick)}
+            if not now:
                 continue
+            ring += [k for k in now if k not in ring]
+            sizes = [now.get(k, 0) for k in ring]
             at, used, picked = start % len(sizes), 2, []
             for _ in range(len(sizes)):
                 if len(picked) == 4:
@@ -261,7 +263,7 @@ def test_round_robin(spark, limit):
                     used += 1 + sizes[slot]
                     picked.append(slot)
             start = at
-            want += [(session, tick, n, slot) for n, slot in enumerate(picked)]
+            want += [(session, tick, n, ring[at]) for n, at in enumerate(picked)]
     got = assembly.pick_batches(df, ["session_id"], slots=9, limit=limit)
     assert sorted((r["session_id"], r["tick"], r["frame_pos"], r["slot"])
                   for r in got.collect()) == sorted(want)
@@ -304,3 +306,18 @@ def test_drive_timer_is_strict(spark):
     starts = sampling.drive_start(df, ["session_id"])
     got = sampling.stamp_elapsed(df, starts, ["session_id"]).orderBy("session_id", "t_us")
     assert [r["elapsed_s"] for r in got.collect()] == [0, 0, 2, 0]
+
+
+@pytest.mark.parametrize("limit", [None, 8])
+def test_running_sums_keep_their_type(spark, limit):
+    df = spark.range(40).select(F.lit(1).alias("k"), "id", F.lit(0.5).alias("v"))
+    rows = Timeline(df, ["k"], ["id"], limit).scan(ahead=("before", F.col("v"))).rows
+    assert [r["ahead"] for r in rows.orderBy("id").collect()] == [0.5 * n for n in range(40)]
+
+
+def test_slots_out_of_range_are_rejects(spark):
+    df = spark.createDataFrame([(1, 0, 12, 20), (1, 0, 3, 20), (1, 0, None, 20), (1, 0, -1, 20)],
+                               "session_id int, tick long, slot int, packet_bytes int")
+    assert [r["slot"] for r in assembly.pick_batches(df, ["session_id"]).collect()] == [3]
+    assert sorted(str(r["slot"]) for r in assembly.slot_rejects(df).collect()) == [
+        "-1", "12", "None"]

@@ -214,7 +214,7 @@ def modbus_snapshot(spark, sf):
 def can_frames(spark, sf):
     return captures.bus_frames(i.bus(spark, sf)).withColumns({
         "data_hex": hex_text(F.col("data")),
-        "passes_filter": captures.id_filter(dim.power_ids())})
+        "passes_filter": captures.id_filter(dim.POWER_IDS)})
 
 
 @job("rtd_conversions", "event_id bigint, raw_code bigint, fault_status bigint, "
@@ -510,7 +510,7 @@ def rate_limited_warnings(spark, sf):
 
 # ------------------------------------------------------------------ sinks
 
-BMV_CSV = ("timestamp", "device_id", *dim.device_csv_columns()["bmv"])
+BMV_CSV = ("timestamp", "device_id", *dim.DEVICE_CSV_COLUMNS["bmv"])
 
 
 def shunt_rows(spark, sf):

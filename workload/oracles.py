@@ -473,7 +473,7 @@ SELECT k, array_to_string(list_filter([
   CASE WHEN k % 104 > 100 THEN 'soc above 100' END], lambda x: x IS NOT NULL), '; ') AS violations
 FROM bat""", POLLS, BATTERY)
 
-_labels = ", ".join(f"({r}, '{text}')" for r, text in dim.register_label_rows())
+_labels = ", ".join(f"({r}, '{text}')" for r, text in dim.REGISTER_LABELS)
 oracle("register_profile", """
 SELECT reg, coalesce(label, '') AS label, count(*) AS polls, min(u) AS u16_min, max(u) AS u16_max,
  min(CASE WHEN u >= 32768 THEN u - 65536 ELSE u END) AS s16_min,
@@ -600,21 +600,26 @@ SELECT *, send_rank = 1 AS is_next FROM (
 
 # One recursion step looks at one slot; a finished tick hands its position to the next.
 oracle("batch_assembly", """
-SELECT session_id, tick, n_picked - 1 AS frame_pos, slot, size AS packet_bytes
+SELECT session_id, tick, n_picked - 1 AS frame_pos, name AS slot, size AS packet_bytes
 FROM look WHERE took""",
        """due AS (SELECT session_id, floor(t_us / 21600000000)::BIGINT AS tick, user_id % 7 AS slot,
   max(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 20 + c % 50 END) AS size FROM e GROUP BY 1, 2, 3),
-slots AS (SELECT *, row_number() OVER (PARTITION BY session_id, tick ORDER BY slot) - 1 AS pos,
-  count(*) OVER (PARTITION BY session_id, tick) AS n FROM due),
-ticked AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY tick) AS tn FROM slots),
+cached AS (SELECT t.session_id, t.tick, f.slot, coalesce(d.size, 0) AS size,
+  row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY t.session_id, t.tick) AS n
+ FROM (SELECT DISTINCT session_id, tick FROM due) AS t
+ JOIN (SELECT session_id, slot, min(tick) AS since FROM due GROUP BY 1, 2) AS f
+  ON f.session_id = t.session_id AND f.since <= t.tick
+ LEFT JOIN due AS d ON d.session_id = t.session_id AND d.tick = t.tick AND d.slot = f.slot
+ WINDOW w AS (PARTITION BY t.session_id, t.tick ORDER BY f.since, f.slot)),
+ticked AS (SELECT *, dense_rank() OVER (PARTITION BY session_id ORDER BY tick) AS tn FROM cached),
 sized AS (SELECT session_id, tn, any_value(tick) AS tick, any_value(n) AS n,
-  list(size ORDER BY pos) AS sizes FROM ticked GROUP BY 1, 2),
+  list(size ORDER BY pos) AS sizes, list(slot ORDER BY pos) AS names FROM ticked GROUP BY 1, 2),
 look AS (
- SELECT session_id, tn, tick, n, sizes, 0::BIGINT AS slot, 0::BIGINT AS size, 0::BIGINT AS at,
+ SELECT session_id, tn, tick, n, sizes, names, 0::BIGINT AS name, 0::BIGINT AS slot, 0::BIGINT AS size, 0::BIGINT AS at,
   0::BIGINT AS checked, 2::BIGINT AS used, 0::BIGINT AS n_picked, false AS took, false AS done
  FROM sized WHERE tn = 1
  UNION ALL
- SELECT l.session_id, z.tn, z.tick, z.n, z.sizes, s.slot, s.size, (s.slot + 1) % z.n,
+ SELECT l.session_id, z.tn, z.tick, z.n, z.sizes, z.names, z.names[s.slot + 1], s.slot, s.size, (s.slot + 1) % z.n,
   s.checked + 1, s.used + CASE WHEN s.took THEN 1 + s.size ELSE 0 END,
   s.picked + CASE WHEN s.took THEN 1 ELSE 0 END, s.took,
   s.overflow OR s.checked + 1 >= z.n OR s.picked + (CASE WHEN s.took THEN 1 ELSE 0 END) >= 4
