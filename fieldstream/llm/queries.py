@@ -14,6 +14,7 @@ from fieldstream.llm import (
     line_dedup,
     packing,
     page_text,
+    passages,
     set_join,
     token_file,
     toxicity,
@@ -27,6 +28,10 @@ def op1_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find(documents(spark, sf_dir)).drop("version", "removed")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.train(docs.where(third("doc_id") != 1))
@@ -156,6 +161,7 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_page_text": op1_page_text,
+    "op2_passages": op2_passages,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_host_rules": op5_host_rules,

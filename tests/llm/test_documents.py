@@ -15,6 +15,7 @@ from fieldstream.llm import (
     line_dedup,
     packing,
     page_text,
+    passages,
     set_join,
     token_file,
     toxicity,
@@ -50,6 +51,65 @@ def test_pages_with_nulls(spark):
     assert page_text.extract(df.limit(0)).count() == 0
 
 
+def test_chunks_do_not_depend_on_neighbours():
+    """The same texts in any batch, and shifts move only what is beside them."""
+    texts = [" ".join(words(i, n)) for i, n in enumerate([0, 5, 12, 60, 400, 3000])]
+
+    def of(some):
+        raw, offsets = passages.K.text_bytes(pa.array(some, pa.string()))
+        document, start, size, one, two = passages.chunks(raw, offsets)
+        return [{(int(s), int(n), int(a), int(b)) for d, s, n, a, b in zip(
+            document, start, size, one, two) if d == k} for k in range(len(some))]
+
+    together = of(texts)
+    assert [of([t])[0] for t in texts] == together and of(texts[::-1])[::-1] == together
+    assert all(6 <= n <= 17 for x in together for _, n, _, _ in x)
+    shifted = of(["one more " + texts[5]])[0]
+    assert len({x[2:] for x in shifted} - {x[2:] for x in together[5]}) <= 4
+
+
+def test_passages_against_brute_force(spark, make):
+    """Every shared run of 51 words is found; nothing without a shared chunk is."""
+    rows = [(i, " ".join(words(i, 40 + 7 * i, 3000))) for i in range(60)]
+    shared = words(1001, 51, 3000)
+    for i in (3, 17, 40):
+        w = rows[i][1].split()
+        rows[i] = (i, " ".join(w[:20] + shared + w[20:]).replace(" ", "\n" if i == 17 else " "))
+    rows += [(100, rows[50][1]), (101, rows[50][1]), (102, " ".join(shared)), (103, None)]
+    got = {}
+    for r in passages.find(make(rows)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    sets = {i: {tuple((t or "").split()[k:k + 6]) for k in range(len((t or "").split()) - 5)}
+            for i, t in rows}
+    held = {}
+    for i, s in sets.items():
+        for x in s:
+            held.setdefault(x, set()).add(i)
+    assert set(got) == {3, 17, 40, 50, 100, 101, 102}
+    for i, found in got.items():
+        w = dict(rows)[i].split()
+        for r in found:
+            part = w[r["start_word"]:r["start_word"] + r["n_words"]]
+            assert all(len(held[tuple(part[k:k + 6])]) > 1 for k in range(len(part) - 5))
+            assert r["n_removed"] == (0 if r["first_id"] == i else r["n_words"])
+    texts = {r["doc_id"]: r["text"] for r in passages.drop_repeats(make(rows)).collect()}
+    assert texts[3] == rows[3][1] and texts[50] == rows[50][1] and texts[103] is None
+    assert len(texts[40].split()) == len(rows[40][1].split()) - got[40][0]["n_removed"]
+    assert len(texts[101].split()) < 50
+
+
+def test_passages_odd_rows(spark, make):
+    long = " ".join(words(8, 30_000))
+    rows = EDGE + [(7, long), (7, "x " + long), (8, long), (8, long), (6, EDGE[6][1] + long),
+                   (9, EDGE[6][1])]
+    got = {r["doc_id"]: r["n_removed"] for r in passages.find(make(rows)).collect()}
+    assert set(got) == {6, 7, 8} and got[6] == 0 and 29_960 < got[8] <= 30_000
+    assert passages.find(make(EDGE)).count() == 0
+    assert passages.find(make(EDGE).limit(0)).count() == 0
+    out = passages.drop_repeats(make(rows))
+    assert out.count() == len(rows) and out.columns == make(rows).columns
+
+
 def test_language(spark, make):
     stock = {"en": "the of and with this that", "de": "der die und nicht eine für",
              "fr": "le la des avec dans pour", "es": "el los las una por más"}
@@ -268,5 +328,5 @@ def test_pipeline_on_edge_rows(spark, make, tmp_path):
 def test_queries_have_their_names():
     from fieldstream.llm.queries import ORACLES, QUERIES
 
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == {1, *range(3, 11)}
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
     assert set(ORACLES) <= set(QUERIES) and isinstance(pa.array([1]), pa.Array)
