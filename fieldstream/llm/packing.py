@@ -3,8 +3,8 @@
 Pieces are dealt out over partitions and packed best-fit decreasing in each. Lower bounds
 from dual feasible functions tell which partitions need every sequence they use; those are
 done. In the others the sequences that are not full give their pieces back: these are dealt
-out anew over fewer partitions and packed again, until no gap is left or one partition holds
-what is left.
+out anew over partitions of the same size and packed again, until no gap is left, one
+partition holds what is left, a new deal saves no sequence or ``ROUNDS`` deals are done.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from fieldstream.llm.tokens import Encoder, with_end
 
 CAPACITY = 2048
 PIECES_A_PART = 40_000
+#: Pieces are dealt out at most so often.
+ROUNDS = 8
 PIECE = "id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -110,14 +112,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY,
          pieces_a_part: int = PIECES_A_PART) -> DataFrame:
     """``pieces`` with sequence_id and offset; ``length`` is between 1 and ``capacity``.
 
-    Full pieces are sequences of their own. The number of rounds is at most the logarithm
-    of the number of partitions: each deals its leftovers over half as many at most.
+    Full pieces are sequences of their own. A partition holds about ``pieces_a_part`` pieces
+    in every round, so no task grows with the input. A deal that needs no fewer sequences
+    than the one before is not used: the packing before it stands.
     """
     numbered = keep(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     done = [numbered.where(F.col("length") == capacity).select(
         "__row", (-F.col("__row") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left = numbered.where(F.col("length") < capacity).select("__row", "length")
-    count, parts, turn = left.count(), None, 0
+    count, before, turn = left.count(), None, 0
+
+    def place(fixed: DataFrame, of: int) -> None:
+        done.append(fixed.select(
+            "__row", (F.lit(of << 56) + F.shiftleft("part", 24) + F.col("bin"))
+            .alias("sequence_id"), "offset"))
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "__row"], kind="stable", ignore_index=True)
@@ -131,22 +139,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY,
             "offset": offset, "settled": full[bins] | tight})
 
     while count:
-        wanted = max(1, math.ceil(count / pieces_a_part))
-        parts = wanted if parts is None else max(1, min(wanted, parts // 2))
-        last = parts == 1
+        parts = max(1, math.ceil(count / pieces_a_part))
         tried = keep(
             left.withColumn("part", F.pmod(F.xxhash64(F.lit(turn), "__row"), F.lit(parts)))
             .groupBy("part").applyInPandas(
                 one, "__row long, length long, part long, bin long, offset long, settled boolean"),
             "packed")
-        fixed = tried if last else tried.where("settled")
-        done.append(fixed.select(
-            "__row", (F.lit(turn << 56) + F.shiftleft("part", 24) + F.col("bin"))
-            .alias("sequence_id"), "offset"))
-        if last:
+        # A sequence has one piece at offset 0.
+        used, open_, count = tried.agg(
+            F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & ~F.col("settled")),
+            F.count_if(~F.col("settled"))).first()
+        if before is not None and used >= before[1]:
+            place(before[0], turn - 1)
+            break
+        if parts == 1 or turn + 1 == ROUNDS:
+            place(tried, turn)
             break
+        place(tried.where("settled"), turn)
         left = tried.where("not settled").select("__row", "length")
-        count, turn = left.count(), turn + 1
+        before, turn = (tried.where("not settled"), open_), turn + 1
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)
