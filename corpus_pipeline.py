@@ -60,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences: one row per piece of a document."""
-    return packing.pack_documents(docs, vocabulary())
+    return packing.pack_documents(docs, vocabulary(), added_tokens=True)
 
 
 STAGES = [

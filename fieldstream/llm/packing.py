@@ -31,13 +31,13 @@ PIECE = "id long, piece int, start long, length long, ids_crc32 long"
 
 
 def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-        capacity: int = CAPACITY, end: int = 0) -> DataFrame:
+        capacity: int = CAPACITY, end: int = 0, added_tokens: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids and one end id, in pieces.
 
     Only documents longer than ``capacity`` are cut; all pieces but the first are full.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(vocabulary)
+        encoder = Encoder.of(vocabulary, added_tokens)
         for batch in batches:
             for first, ids, at in encoder.slices(batch.column(1)):
                 ids, at = with_end(ids, at, end)
@@ -165,12 +165,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY,
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
-                   text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+                   text_col: str = "text", capacity: int = CAPACITY,
+                   added_tokens: bool = False) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they
     occur, a null id is kept, other columns are not read, an empty table gives no rows.
+    ``added_tokens``: see ``Encoder``.
     """
-    return pack(cut(docs, vocabulary, id_col, text_col, capacity), capacity).select(
+    return pack(cut(docs, vocabulary, id_col, text_col, capacity, added_tokens=added_tokens),
+                capacity).select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id",
         "offset")

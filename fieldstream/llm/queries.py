@@ -112,7 +112,7 @@ def vocabulary() -> str:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir), vocabulary())
+    return packing.pack_documents(documents(spark, sf_dir), vocabulary(), added_tokens=True)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ FROM cut
 """
 
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_file.store_and_read(documents(spark, sf_dir), vocabulary())
+    return token_file.store_and_read(documents(spark, sf_dir), vocabulary(), added_tokens=True)
 
 
 QUERIES: dict[str, Query] = {

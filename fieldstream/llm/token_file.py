@@ -149,7 +149,7 @@ def read_block(code: Code, block: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
-          text_col: str = "text", end: int = 0) -> None:
+          text_col: str = "text", end: int = 0, added_tokens: bool = False) -> None:
     """Encode the texts (null: empty), an end id behind each, and write the file set.
 
     The ids are written once beside the blocks; counts over all of them give the code (at
@@ -159,7 +159,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(vocabulary)
+        encoder = Encoder.of(vocabulary, added_tokens)
         kind = "<u2" if encoder.vocabulary() <= 1 << 16 else "<u4"
         for batch in batches:
             for first, ids, at in encoder.slices(batch.column(1)):
@@ -298,12 +298,13 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def store_and_read(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Write the file set to the shared folder and answer from what is read back.
 
     A null or empty text is the end id alone; repeated rows stand side by side; other
     columns are not read; an empty table gives an empty file set and no rows.
+    ``added_tokens``: see ``Encoder``.
     """
     path = run_dir(docs.sparkSession, "token-file")
-    write(docs, path, vocabulary, id_col, text_col)
+    write(docs, path, vocabulary, id_col, text_col, added_tokens=added_tokens)
     return read(docs.sparkSession, path, id_col)

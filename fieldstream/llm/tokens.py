@@ -118,24 +118,31 @@ def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray
 
 
 class Encoder:
-    """Whole texts to ids; one per worker and vocabulary file."""
+    """Whole texts to ids; one per worker, vocabulary file and treatment of added tokens.
 
-    _held: dict[str, "Encoder"] = {}
+    With ``added_tokens`` a text that holds the string of an added token is encoded whole, as
+    the plain tokenizer does it; without, the strings of special tokens are ordinary text.
+    """
+
+    _held: dict[tuple[str, bool], "Encoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [str(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()
+                      if added_tokens or not x.special]
         self.spaced = Pieces(self.tokenizer, " ")
         self.bare = Pieces(self.tokenizer, "")
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
+    def of(cls, path: str, added_tokens: bool = False) -> "Encoder":
+        key = (path, added_tokens)
+        if key not in cls._held:
+            cls._held[key] = cls(*key)
+        return cls._held[key]
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -154,10 +161,14 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         # A space with white space before it and white space or the end behind it does not
-        # start a piece; such texts are encoded whole.
+        # start a piece; such texts are encoded whole, and so are those with an added token.
         whole = pc.match_substring_regex(texts, f"{WS} ({WS}|$)").to_numpy(zero_copy_only=False)
         single = ~pc.match_substring_regex(texts, f"{WS}{WS}|^{WS}|{WS}$").to_numpy(
             zero_copy_only=False)
+        holds = np.zeros(n, bool)
+        for name in self.added:
+            holds |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        whole, single = whole | holds, single & ~holds
         # A lone line feed is a token of its own: it ends a piece and starts a bare one.
         work = pc.if_else(pa.array(single), pc.replace_substring(texts, "\n", " \n "),
                           pc.if_else(pa.array(whole), "", texts))

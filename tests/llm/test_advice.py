@@ -22,3 +22,18 @@ def test_packing_tasks_stay_bounded(spark):
     assert got.groupby("sequence_id")["length"].sum().max() <= 2048
     assert got.groupby(got["sequence_id"] // (1 << 24)).size().max() < 500 + 6 * 500 ** 0.5
     assert got["sequence_id"].nunique() < 1.1 * sum(lengths) / 2048 + 12
+
+
+def test_added_tokens_as_the_plain_tokenizer(spark, make):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    texts = ["<|endoftext|> x", "a <|endoftext|>\nb", "one two", "  x<|endoftext|>", None]
+    want = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 0], np.uint32)
+            for t in texts]
+    docs = make(list(enumerate(texts)))
+    pieces = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack_documents(
+        docs, vocabulary(), added_tokens=True).collect()}
+    stored = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_file.store_and_read(
+        docs, vocabulary(), added_tokens=True).collect()}
+    assert pieces == stored == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)}
