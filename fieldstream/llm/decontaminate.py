@@ -5,6 +5,7 @@ per window size finds all items within RADIUS bits: the fingerprint is cut into
 within that radius some block differs in at most ``RADIUS // BLOCKS`` bits, so every item is
 entered under all block values that near. Candidates are verified by the exact similarity of
 their weighted shingles (weight: how often one occurs; sum of minima over sum of maxima).
+A document shorter than an item is compared as a whole where its shingles can suffice.
 
 Windows without a single shingle of any item have similarity 0 and are not fingerprinted.
 Words are runs of letters and digits, lower-cased in A-Z.
@@ -169,8 +170,14 @@ class Index:
 
     def _windows(self, rolled: np.ndarray, begin: int, stop: int, n: int, width: int,
                  places: np.ndarray, best: dict[int, tuple[float, int]]) -> None:
-        """Windows of ``n`` words that hold one of the places, within words begin to stop."""
+        """Windows of ``n`` words that hold one of the places, within words begin to stop.
+
+        A text of fewer words that can still be similar enough is one window itself.
+        """
         if stop - begin < n:
+            whole = stop - begin - width + 1
+            if whole >= LEAST * (n - width + 1) - 1e-9:
+                self._compare(rolled, np.array([begin]), whole, n, begin, best)
             return
         mark = np.zeros(stop - begin - n + 2, np.int64)
         np.add.at(mark, np.clip(places - (n - width) - begin, 0, len(mark) - 1), 1)
@@ -181,16 +188,21 @@ class Index:
         while k < len(starts):
             upto = int(np.searchsorted(starts, starts[k] + STRETCH))
             some = starts[k:upto]
-            origin = int(some[0])
-            prints = fingerprints(rolled[origin:int(some[-1]) + size], size, some - origin)
-            for w, item in zip(*(x.tolist() for x in self.candidates(n, prints))):
-                at = int(some[w])
-                score = self.similarity(item, rolled[at:at + size])
-                if score >= LEAST and (-score, at - begin) < (
-                        -best.get(item, (0.0, 0))[0], best.get(item, (0.0, 0))[1]):
-                    best[item] = (score, at - begin)
+            self._compare(rolled, some, size, n, begin, best)
             k = upto
 
+    def _compare(self, rolled: np.ndarray, some: np.ndarray, size: int, n: int, begin: int,
+                 best: dict[int, tuple[float, int]]) -> None:
+        """The windows of ``size`` shingles from ``some`` on against the items of ``n`` words."""
+        origin = int(some[0])
+        prints = fingerprints(rolled[origin:int(some[-1]) + size], size, some - origin)
+        for w, item in zip(*(x.tolist() for x in self.candidates(n, prints))):
+            at = int(some[w])
+            score = self.similarity(item, rolled[at:at + size])
+            if score >= LEAST and (-score, at - begin) < (
+                    -best.get(item, (0.0, 0))[0], best.get(item, (0.0, 0))[1]):
+                best[item] = (score, at - begin)
+
 
 def _indexes(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
     """One index per block of at most about ITEMS_A_BLOCK items."""

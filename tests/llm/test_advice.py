@@ -37,3 +37,14 @@ def test_added_tokens_as_the_plain_tokenizer(spark, make):
     stored = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_file.store_and_read(
         docs, vocabulary(), added_tokens=True).collect()}
     assert pieces == stored == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in enumerate(want)}
+
+
+def test_benchmark_item_cut_short(spark, make):
+    """Documents of fewer words than the item, with at least 0.8 of its shingles."""
+    item = words(5, 37)
+    rows = [(1, " ".join(item[1:])), (2, " ".join(item[:-1])), (3, " ".join(item[3:-3])),
+            (4, " ".join(item[:20]))]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["similarity"] for r in decontaminate.find(make(rows), bench).collect()}
+    assert set(got) == {1, 2, 3} and got[1] == pytest.approx(32 / 33)
+    assert {r["doc_id"] for r in decontaminate.clean(make(rows), bench).collect()} == {4}
