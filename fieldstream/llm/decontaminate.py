@@ -8,7 +8,8 @@ their weighted shingles (weight: how often one occurs; sum of minima over sum of
 A document shorter than an item is compared as a whole where its shingles can suffice.
 
 Windows without a single shingle of any item have similarity 0 and are not fingerprinted.
-Words are runs of letters and digits, lower-cased in A-Z.
+Words are runs of letters and digits by their Unicode class, lower-cased in A-Z; in scripts
+without spaces every character is a word.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,12 @@ def _breaks() -> np.ndarray:
 BREAKS = _breaks()
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of texts in which ASCII alone ends words."""
+    return K.text_bytes(pc.replace_substring_regex(
+        K.blank(column, K.NO_WORDS), K.UNSPACED, r" \1 "))
+
+
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray]:
     words = K.Words(K.LOWER[raw], offsets, BREAKS)
     return words, words.hashes()
@@ -73,7 +81,7 @@ class Index:
     """The items of one block: their shingles, and fingerprints by window size."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        raw, offsets = K.text_bytes(pa.array(texts, pa.string()))
+        raw, offsets = _bytes(pa.array(texts, pa.string()))
         words, hashes = _words(raw, offsets)
         self.item: list[int] = []
         self.length: list[int] = []
@@ -137,7 +145,7 @@ class Index:
 
     def search(self, column: pa.Array) -> list[list[tuple[int, float, int]]]:
         """Per text: (item id, similarity, first word) of the best window of each item."""
-        raw, offsets = K.text_bytes(column)
+        raw, offsets = _bytes(column)
         out: list[list[tuple[int, float, int]]] = []
         for first, last in K.runs(offsets):
             words, hashes = _words(raw[offsets[first]:offsets[last]],

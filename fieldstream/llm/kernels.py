@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
 #: Bytes of text that are worked on at once (a longer single text is worked on alone).
@@ -50,7 +51,10 @@ def ascii_space() -> np.ndarray:
 
 
 def not_letter() -> np.ndarray:
-    """True at the bytes that end a run of letters (digits, signs, spaces)."""
+    """True at the bytes that end a run of letters (digits, signs, spaces).
+
+    Every byte beyond ASCII counts as a letter; ``blank`` takes out those that are none.
+    """
     table = np.ones(256, dtype=bool)
     table[ord("a"):ord("z") + 1] = False
     table[ord("A"):ord("Z") + 1] = False
@@ -76,6 +80,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: What is no letter beyond ASCII, with marks that follow no letter; the second keeps numbers too.
+NO_LETTERS = (r"(?:[^\x00-\x7F\p{L}\p{M}]|[\x00-@\[-`{-\x7F]\p{M}|^\p{M})"
+              r"[^\x00-\x7F\p{L}]*")
+NO_WORDS = (r"(?:[^\x00-\x7F\p{L}\p{M}\p{N}]|[\x00-/:-@\[-`{-\x7F]\p{M}|^\p{M})"
+            r"[^\x00-\x7F\p{L}\p{N}]*")
+#: A character of a script that is written without spaces, and its marks.
+UNSPACED = (r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+            r"\p{M}*)")
+
+
+def blank(column: pa.Array, signs: str) -> pa.Array:
+    """Texts with one space for each run of ``signs``, so that byte tables see it as a gap."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return pc.replace_substring_regex(column.cast(pa.large_string()), signs, " ")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after the other, and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

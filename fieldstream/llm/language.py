@@ -1,6 +1,6 @@
 """Language identification in two levels: the family first, then its members.
 
-Letters of a text (other runs become one space) give hashed byte 3-grams. A linear
+Letters of a text by their Unicode class (other runs become one space) give hashed byte 3-grams. A linear
 support vector machine per family picks the family; inside it one machine per pair of
 languages votes. Training takes a bounded sample (``train_per_language`` texts of each
 label) to the driver as sparse counts; prediction runs over all texts in tasks.
@@ -69,7 +69,7 @@ def _letters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _features(column: pa.Array, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts: counts (texts x dims, unit length of their roots), has a letter."""
-    raw, offsets = K.text_bytes(column)
+    raw, offsets = K.text_bytes(K.blank(column, K.NO_LETTERS))
     # At most 128 texts at once bound the dense table; longer runs follow the text's bytes.
     for first, last in K.runs(offsets):
         for a in range(first, last, 128):

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldstream.llm import decontaminate, packing, token_file
+from fieldstream.llm import decontaminate, language, packing, token_file
 from fieldstream.llm.queries import vocabulary
 from tests.llm.test_documents import words
 
@@ -48,3 +48,28 @@ def test_benchmark_item_cut_short(spark, make):
     got = {r["doc_id"]: r["similarity"] for r in decontaminate.find(make(rows), bench).collect()}
     assert set(got) == {1, 2, 3} and got[1] == pytest.approx(32 / 33)
     assert {r["doc_id"] for r in decontaminate.clean(make(rows), bench).collect()} == {4}
+
+
+def test_texts_without_letters_are_undetermined(spark, make):
+    rows = [(i, " ".join(words(i, 30)), "en", "s") for i in range(20)]
+    model = language.train(make(rows))
+    odd = ["12 €", "\U0001f600 \u2764\ufe0f 1\ufe0f\u20e3", "\u2014 \u2013 \u2026", "\u0663\u0664", "\u3002\u300c\u300d", "\u00a0",
+           "\u0301"]
+    got = language.identify(make(list(enumerate(odd))), model).collect()
+    assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
+    lettered = ["\u044f", "\u4e2d", "\u0915\u093f", "12 \u20ac caf\u00e9", "e\u0301"]
+    got = language.identify(make(list(enumerate(lettered))), model).collect()
+    assert "und" not in {r["lang_pred"] for r in got}
+
+
+def test_benchmark_items_between_unicode_signs(spark, make):
+    item = words(5, 14)
+    chinese = "".join(chr(0x4E00 + 37 * i) for i in range(40))
+    thai = "".join(chr(0x0E01 + 7 * i % 40) + ("\u0e34" if i % 3 == 0 else "") for i in range(40))
+    rows = [(1, "He said \u201c" + " ".join(item) + "\u201d to us"),
+            (2, "\u2014" + "\u00a0".join(item) + "\u3002"), (3, "\u524d\u6587" + chinese + "\u4ee5\u4e0a\u3002"),
+            (4, "\u0e2b\u0e2b" + thai + "\u0e2e"), (5, "caf\u00e9 " + " ".join(words(6, 40)))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, chinese), (9, thai)],
+                                  "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(make(rows), bench).collect()}
+    assert got == {(1, 7), (2, 7), (3, 8), (4, 9)}
