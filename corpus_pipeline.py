@@ -24,8 +24,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that much of their source repeats."""
-    out = line_dedup.drop_boilerplate(docs, dropped_col="__lines_dropped")
+    """All documents, without the lines that much of their source repeats.
+
+    Near copies count once, so that the next stage finds them whole and keeps one.
+    """
+    out = line_dedup.drop_boilerplate(docs, dropped_col="__lines_dropped", near=set_join.link)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__lines_dropped") > 0, F.length("text"))
                              .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

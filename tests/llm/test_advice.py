@@ -3,11 +3,9 @@
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
-from fieldstream.llm import decontaminate, language, packing, token_file
+from fieldstream.llm import decontaminate, language, line_dedup, packing, set_join, token_file
 from fieldstream.llm.queries import vocabulary
 from tests.llm.test_documents import words
 
@@ -73,3 +71,24 @@ def test_benchmark_items_between_unicode_signs(spark, make):
                                   "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(make(rows), bench).collect()}
     assert got == {(1, 7), (2, 7), (3, 8), (4, 9)}
+
+
+def test_near_copies_are_no_boilerplate(spark, make):
+    """60 pages with a menu line, 8 of them near copies of one article, each edited elsewhere."""
+    import corpus_pipeline
+
+    article = [" ".join(words(100 + i, 12)) for i in range(12)]
+    rows = []
+    for i in range(60):
+        body = [" ".join(words(i, 20)), " ".join(words(200 + i, 20))]
+        if i < 8:
+            body = list(article)
+            body[i] = body[i].rsplit(" ", 1)[0] + f" edit{i}"
+        rows.append((i, "\n".join(["Menu of the site", *body]), "en", "a"))
+    docs = make(rows)
+    got = {r["doc_id"]: r for r in corpus_pipeline.line_dedup_stage(spark, docs, "").collect()}
+    want = {i: t.split("\n", 1)[1] for i, t, *_ in rows}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    found = line_dedup.boilerplate(docs, near=set_join.link).collect()
+    assert [(r["pages"], r["host_pages"]) for r in found] == [(53, 53)]
