@@ -593,16 +593,20 @@ def fan_out(spark, sf):
 
 # ------------------------------------------------------------------ streams
 
-def stream_files(spark, df: DataFrame, name: str, order: str, parts: int = 4) -> DataFrame:
-    """Write the rows as a few files in order of ``order`` and open them as a stream."""
+def stream_files(spark, df: DataFrame, name: str, order: str, parts: int = 4,
+                 files_a_batch: int = 1) -> DataFrame:
+    """Write the rows as a few files in order of ``order`` and open them as a stream.
+
+    ``files_a_batch`` files are a micro-batch; with 1 state crosses batches.
+    """
     path = run_dir(spark, name)
     bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // parts))
     for part in range(parts):
         low = bounds["lo"] + part * width
-        df.where(F.col(order).between(low, low + width - 1)).write.mode("append").parquet(
+        df.where(F.col(order).between(low, low + width - 1)).coalesce(1).write.mode("append").parquet(
             f"{path}/part={part}")
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1000)
+    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_a_batch)
             .parquet(f"{path}/part=*"))
 
 
@@ -631,5 +635,5 @@ def streaming_seq_gap(spark, sf):
 def streaming_deadband(spark, sf):
     rows = band_readings(spark, sf).select(
         *D, "t_us", "event_id", *BAND.deltas)
-    source = stream_files(spark, rows, "readings", "t_us")
+    source = stream_files(spark, rows, "readings", "t_us", files_a_batch=1000)
     return drained(spark, streams.deadband_stream(source, BAND, D, tie="event_id"), "band")
