@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from fieldstream.llm import (
     decontaminate,
+    hard_negatives,
     host_rules,
     language,
     line_dedup,
+    neighbours,
     packing,
     page_text,
     passages,
     set_join,
     token_file,
     toxicity,
+    whitening,
 )
 from fieldstream.llm.common import documents, third
 
@@ -159,6 +162,26 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.store_and_read(documents(spark, sf_dir), vocabulary(), added_tokens=True)
 
 
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(embeddings(spark, sf_dir).withColumn("label", label),
+                               F.col("vec_id") % 100 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(embeddings(spark, sf_dir)).withColumn(
+        "deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_page_text": op1_page_text,
     "op2_passages": op2_passages,
@@ -170,6 +193,9 @@ QUERIES: dict[str, Query] = {
     "op8_set_join": op8_set_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_file": op10_token_file,
+    "op11_neighbours": op11_neighbours,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
