@@ -38,7 +38,7 @@ ROWS_A_PART = 4096   # rows of a list that one join key stands for
 PACK = 128           # queries that are compared with a block at once
 FIRST_ROWS = 64      # rows a query's first lists should hold, per neighbour wanted
 E0 = 2.1             # of the hypothesis test
-MISS = 0.01
+MISS = 0.05
 
 BLOCK = "list int, part int, n int, square double, fourth double, ids binary, columns array<binary>, original binary"
 
