@@ -278,7 +278,8 @@ def _search(probes: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                     [pa.array(first[a[top]]), pa.array(second[a[top]]), pa.array(ids[r[top]]),
                      pa.array(score[top])], ["first", "second", "id", "score"])
 
-    both = probes.join(blocks, (F.col("list") == F.col("__list")) & (F.col("part") == F.col("__part")))
+    # The merge hint: Spark's estimate of the probes' size follows the queries alone.
+    both = probes.hint("merge").join(blocks, (F.col("list") == F.col("__list")) & (F.col("part") == F.col("__part")))
     return both.select("first", "second", "limits", "turned", "vectors", "n", "ids", "columns",
                        "original").mapInArrow(
         K.tidy(run), "first long, second long, id long, score double")
