@@ -1,7 +1,8 @@
 """Toxicity scores by FTRL-proximal logistic regression.
 
 A text's features are its distinct words, word pairs and skip-pairs (one word between),
-hashed to ``2**bits`` cells; words are runs of letters, lower-cased. Training goes over a
+hashed to ``2**bits`` cells; words are runs of letters (by Unicode class),
+lower-cased. Training goes over a
 bounded sample of labelled rows with one learning rate per coordinate and an L1 term, so
 few weights are not zero; only those are broadcast.
 """
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +36,10 @@ class Model:
 
 def _features(column: pa.Array, bits: int) -> Iterator[np.ndarray]:
     """The distinct feature cells of each text."""
-    raw, offsets = K.text_bytes(column)
-    for a, b in K.runs(offsets):
-        words = K.Words(K.LOWER[raw[offsets[a]:offsets[b]]], offsets[a:b + 1] - offsets[a],
-                        K.NOT_LETTER)
+    for _, some in K.slices(column):
+        # Signs of any script end a word, and letters of any script lose their case.
+        raw, offsets = K.text_bytes(pc.utf8_lower(K.blank(some, K.NO_LETTERS)))
+        words = K.Words(raw, offsets, K.NOT_LETTER)
         single = words.hashes()
         pair = np.zeros(len(single), dtype=K.U64)
         skip = np.zeros(len(single), dtype=K.U64)
