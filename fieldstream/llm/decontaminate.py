@@ -145,12 +145,10 @@ class Index:
 
     def search(self, column: pa.Array) -> list[list[tuple[int, float, int]]]:
         """Per text: (item id, similarity, first word) of the best window of each item."""
-        raw, offsets = _bytes(column)
         out: list[list[tuple[int, float, int]]] = []
-        for first, last in K.runs(offsets):
-            words, hashes = _words(raw[offsets[first]:offsets[last]],
-                                   offsets[first:last + 1] - offsets[first])
-            best: list[dict[int, tuple[float, int]]] = [{} for _ in range(last - first)]
+        for _, some in K.slices(column):
+            words, hashes = _words(*_bytes(some))
+            best: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(some))]
             for width, (anchor, sizes, quick) in self.anchors.items():
                 rolled = K.windows(hashes, width)
                 maybe = np.flatnonzero(quick[(rolled >> U64(44)).astype(np.int64)])

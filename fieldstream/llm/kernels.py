@@ -97,6 +97,17 @@ def blank(column: pa.Array, signs: str) -> pa.Array:
     return pc.replace_substring_regex(column.cast(pa.large_string()), signs, " ")
 
 
+def slices(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of about ``most`` bytes, at least one text each: cut before any copy
+    is made, so that what rewrites texts holds one slice and not the batch."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+                     .astype(np.int64))
+    for first, last in runs(np.concatenate([np.zeros(1, np.int64), size]), most):
+        yield first, column.slice(first, last - first)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after the other, and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -69,11 +69,11 @@ def _letters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _features(column: pa.Array, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts: counts (texts x dims, unit length of their roots), has a letter."""
-    raw, offsets = K.text_bytes(K.blank(column, K.NO_LETTERS))
     # At most 128 texts at once bound the dense table; longer runs follow the text's bytes.
-    for first, last in K.runs(offsets):
-        for a in range(first, last, 128):
-            b = min(a + 128, last)
+    for _, some in K.slices(column):
+        raw, offsets = K.text_bytes(K.blank(some, K.NO_LETTERS))
+        for a in range(0, len(some), 128):
+            b = min(a + 128, len(some))
             text, at = _letters(raw[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             wide = text.astype(np.uint32)
             gram = (wide[:-2] << np.uint32(16)) | (wide[1:-1] << np.uint32(8)) | wide[2:]

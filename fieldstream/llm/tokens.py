@@ -14,11 +14,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-#: At most so many pieces are remembered in a worker; later new ones are encoded each time.
-MOST_PIECES = 2_000_000
+#: Bytes of pieces and ids that each of a worker's two caches may hold; what is met after
+#: that is encoded each time. (A larger cache is no faster: every lookup builds its table.)
+CACHE_BYTES = 12 << 20
 #: So many pieces are encoded as one text.
 PIECES_A_TEXT = 256
-SLICE_BYTES = 5 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Pieces:
@@ -68,6 +69,16 @@ class Pieces:
         start[order] = np.cumsum(length[order]) - length[order]
         return gather(np.concatenate(runs), start, length)[0], length
 
+    def _remember(self, texts: pa.Array, ids: np.ndarray, count: np.ndarray) -> None:
+        """Keep the first of these pieces that the budget has room for."""
+        room = CACHE_BYTES - self.known.nbytes - self.ids.nbytes - self.at.nbytes
+        each = pc.binary_length(texts).to_numpy(zero_copy_only=False) + 16 + 4 * count
+        n = int(np.searchsorted(np.cumsum(each), room, "right"))
+        if n:
+            self.known = pa.concat_arrays([self.known, texts.slice(0, n)])
+            self.ids = np.concatenate([self.ids, ids[:int(count[:n].sum())]])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count[:n])])
+
     def _find(self, values: pa.Array) -> np.ndarray:
         found = pc.index_in(values, value_set=self.known)
         return found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -95,9 +106,7 @@ class Pieces:
             place[miss] = len(at) - 1 + np.arange(len(miss))
             ids = np.concatenate([ids, fresh])
             at = np.concatenate([at, at[-1] + np.cumsum(count)])
-            if len(at) - 1 <= MOST_PIECES:
-                self.known = pa.concat_arrays([self.known, texts])
-                self.ids, self.at = ids, at
+            self._remember(texts, fresh, count)
         place = place[index]
         length = at[place + 1] - at[place]
         bare, edge = gather(ids, at[place], length)
