@@ -51,71 +51,6 @@ class Fold:
         raise NotImplementedError
 
 
-class LastEmitted(Fold):
-    """Folds whose state is the last accepted row: accept or skip each next one.
-
-    ``decide(state, row)`` names the event or returns None; a decided row becomes the
-    state only if ``accepted(row)``. Once ``horizon_us`` has passed since the last
-    accepted row, every row is decided whatever the state held. So within a slice the
-    first accepted row lies at or before the first acceptable row past its start plus the
-    horizon, and the summary needs only those candidates and where each of them leads.
-    """
-
-    horizon_us: int = 0
-    emit_undecided = False
-
-    def decide(self, state, row):
-        raise NotImplementedError
-
-    def accepted(self, row) -> bool:
-        return True
-
-    def time_of(self, row) -> int:
-        raise NotImplementedError
-
-    def result(self, state, row, event):
-        return (event,)
-
-    def step(self, state, row):
-        event = self.decide(state, row)
-        if event is None:
-            return state, None
-        return (row if self.accepted(row) else state), self.result(state, row, event)
-
-    def summarise(self, rows):
-        candidates = []
-        limit = self.time_of(rows[0]) + self.horizon_us
-        for i, row in enumerate(rows):
-            if self.accepted(row):
-                candidates.append(i)
-                if self.time_of(row) >= limit:
-                    break
-        ends: dict[int, int] = {}
-        for first in reversed(candidates):
-            trail, at = [], first
-            while at is not None and at not in ends:
-                trail.append(at)
-                at = self._next_accepted(rows, at)
-            end = ends[at] if at is not None else trail[-1]
-            ends.update(dict.fromkeys(trail, end))
-        return [[list(rows[i]), list(rows[ends[i]])] for i in candidates]
-
-    def _next_accepted(self, rows, at):
-        state = rows[at]
-        for i in range(at + 1, len(rows)):
-            row = rows[i]
-            if self.decide(state, row) is not None and self.accepted(row):
-                return i
-        return None
-
-    def chain(self, state, summary):
-        state = None if state is None else tuple(state)
-        for row, end in summary:
-            if self.decide(state, tuple(row)) is not None:
-                return tuple(end)
-        return state
-
-
 class FiniteState(Fold):
     """Folds whose state is one of few small numbers: the summary is the whole table."""
 

@@ -5,132 +5,53 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..plans.policies import STATUS_SPACING_S, WARNING_SPACING_S, PolicySpec, ShuntPolicy
-from .fold import LastEmitted, run_fold
+from .emission import run_policy
 from .timeline import Timeline
+from .triggers import Changed, Due, Moved, Policy, Raised, Whole
 
 MICROS = 1_000_000
 
 
-def _numbers(now: str, then: str):
-    try:
-        return float(now), float(then)
-    except ValueError:
-        return None
+def deadband_policy(spec: PolicySpec, time: str, ok: str | None = None) -> Policy:
+    """A row that differs enough from the last one sent, or a heartbeat.
 
-
-class Deadband(LastEmitted):
-    """Emit a row that differs enough from the last one sent.
-
-    Rows are (time, sent ok, watched values...). A change is: the first row, a watched
-    value appearing or disappearing, one moving to or from zero, or one moving by at
-    least its delta. Values that are not numbers change when they differ. Otherwise the
-    heartbeat applies.
+    A change is: the first row, a watched value appearing or disappearing, one moving to or
+    from zero, or one moving by at least its delta. Values that are not numbers change when
+    they differ. Otherwise the heartbeat applies.
     """
+    return Policy(
+        spec.change_event,
+        [Changed(c, delta, spec.change_event) for c, delta in spec.deltas.items()],
+        Due(time, int(spec.heartbeat_s * MICROS), spec.heartbeat_event), ok)
+
 
-    output = "event_type string, prev_t_us bigint"
-
-    def __init__(self, spec: PolicySpec, time: str, ok: str):
-        self.inputs = [time, ok, *spec.deltas]
-        self.thresholds = list(spec.deltas.values())
-        self.change, self.beat = spec.change_event, spec.heartbeat_event
-        self.horizon_us = int(spec.heartbeat_s * MICROS)
-
-    def time_of(self, row):
-        return row[0]
-
-    def accepted(self, row):
-        return row[1]
-
-    def decide(self, state, row):
-        if state is None:
-            return self.change
-        for now, then, threshold in zip(row[2:], state[2:], self.thresholds, strict=True):
-            if now is None and then is None:
-                continue
-            if now is None or then is None:
-                return self.change
-            if isinstance(now, str):
-                numbers = _numbers(now, then)
-                if numbers is None:
-                    if now != then:
-                        return self.change
-                    continue
-                now, then = numbers
-            if (now == 0) != (then == 0) or abs(now - then) >= threshold:
-                return self.change
-        return self.beat if row[0] - state[0] >= self.horizon_us else None
-
-    def result(self, state, row, event):
-        return event, None if state is None else state[0]
-
-
-class RankedShunt(LastEmitted):
+def shunt_policy(policy: ShuntPolicy, time: str, ok: str | None = None) -> Policy:
     """SAMPLE, then ALARM, THRESHOLD_CROSSING, DELTA_UPDATE, HEARTBEAT in that order.
 
-    Rows are (time, sent ok, voltage, current, power, charge, alarm). An alarm counts only
-    when it changes to non-zero; the charge is compared as whole percents, because that is
-    what the wire carries; a missing voltage, current or power counts as zero.
+    An alarm counts only when it changes to non-zero; the charge is compared as whole
+    percents, because that is what the wire carries; a missing voltage, current or power
+    counts as zero.
     """
-
-    output = "event_type string, prev_t_us bigint"
-
-    def __init__(self, policy: ShuntPolicy, time: str, ok: str):
-        self.inputs = [time, ok, "voltage_mv", "current_ma", "power_w", "charge_state", "alarm"]
-        self.deltas = (policy.voltage_mv, policy.current_ma, policy.power_w)
-        self.horizon_us = int(policy.heartbeat_s * MICROS)
-
-    def time_of(self, row):
-        return row[0]
-
-    def accepted(self, row):
-        return row[1]
-
-    def decide(self, state, row):
-        if state is None:
-            return "SAMPLE"
-        alarm, before = row[6] or 0, state[6] or 0
-        if alarm != before and alarm != 0:
-            return "ALARM"
-        charge, earlier = row[5], state[5]
-        if (None if charge is None else round(charge)) != (
-                None if earlier is None else round(earlier)):
-            return "THRESHOLD_CROSSING"
-        for now, then, delta in zip(row[2:5], state[2:5], self.deltas, strict=True):
-            if abs((now or 0) - (then or 0)) >= delta:
-                return "DELTA_UPDATE"
-        return "HEARTBEAT" if row[0] - state[0] >= self.horizon_us else None
-
-    def result(self, state, row, event):
-        return event, None if state is None else state[0]
+    return Policy("SAMPLE", [
+        Raised("alarm", "ALARM"),
+        Whole("charge_state", "THRESHOLD_CROSSING"),
+        Moved("voltage_mv", policy.voltage_mv, "DELTA_UPDATE"),
+        Moved("current_ma", policy.current_ma, "DELTA_UPDATE"),
+        Moved("power_w", policy.power_w, "DELTA_UPDATE"),
+    ], Due(time, int(policy.heartbeat_s * MICROS), "HEARTBEAT"), ok)
 
 
-class Spacing(LastEmitted):
-    """Accept a row once the spacing has passed since the last accepted one."""
+def spacing_policy(seconds: float, time: str) -> Policy:
+    """A row once the spacing has passed since the last one."""
+    return Policy("FIRST", [], Due(time, int(seconds * MICROS), "SPACED"))
 
-    output = "prev_t_us bigint"
 
-    def __init__(self, seconds: float, time: str):
-        self.inputs = [time]
-        self.horizon_us = int(seconds * MICROS)
-
-    def time_of(self, row):
-        return row[0]
-
-    def decide(self, state, row):
-        return True if state is None or row[0] - state[0] >= self.horizon_us else None
-
-    def result(self, state, row, event):
-        return (None if state is None else state[0],)
-
-
-def _with_ok(df: DataFrame, ok: str | None) -> tuple[DataFrame, str]:
-    """Without a send outcome every attempt counts as sent."""
-    if ok is not None:
-        return df, ok
-    return df.withColumn("_ok", F.lit(True)), "_ok"
+def spaced(df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: float,
+           keep: Sequence[str], limit: int | None) -> DataFrame:
+    timeline = Timeline(df, keys, order, limit)
+    return run_policy(timeline, spacing_policy(seconds, order[0]), keep).drop("event_type")
 
 
 def deadband(df: DataFrame, spec: PolicySpec, keys: Sequence[str],
@@ -142,10 +63,8 @@ def deadband(df: DataFrame, spec: PolicySpec, keys: Sequence[str],
     one becomes the state, so a failed send is tried again with the next row.
     """
     spec.check(df)
-    df, ok_column = _with_ok(df, ok)
-    timeline = Timeline(df, keys, order, limit)
     kept = [*keep, *([ok] if ok else [])]
-    return run_fold(timeline, Deadband(spec, order[0], ok_column), kept)
+    return run_policy(Timeline(df, keys, order, limit), deadband_policy(spec, order[0], ok), kept)
 
 
 def heartbeat(df: DataFrame, seconds: float, keys: Sequence[str],
@@ -160,21 +79,19 @@ def classify_shunt(df: DataFrame, policy: ShuntPolicy, keys: Sequence[str],
                    order: Sequence[str] = ("t_us",), ok: str | None = None,
                    keep: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     """Rows to send of the battery shunt, with their ranked ``event_type``."""
-    df, ok_column = _with_ok(df, ok)
-    timeline = Timeline(df, keys, order, limit)
     kept = [*keep, *([ok] if ok else [])]
-    return run_fold(timeline, RankedShunt(policy, order[0], ok_column), kept)
+    return run_policy(Timeline(df, keys, order, limit), shunt_policy(policy, order[0], ok), kept)
 
 
 def status_throttle(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t_us",),
                     seconds: float = STATUS_SPACING_S, keep: Sequence[str] = (),
                     limit: int | None = None) -> DataFrame:
     """Status rows that may be attempted: at most one per slot and spacing."""
-    return run_fold(Timeline(df, keys, order, limit), Spacing(seconds, order[0]), keep)
+    return spaced(df, keys, order, seconds, keep, limit)
 
 
 def rate_limited_warnings(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("t_us",),
                           seconds: float = WARNING_SPACING_S, keep: Sequence[str] = (),
                           limit: int | None = None) -> DataFrame:
     """Violations that are reported: at most one per spacing, shared by all rules."""
-    return run_fold(Timeline(df, keys, order, limit), Spacing(seconds, order[0]), keep)
+    return spaced(df, keys, order, seconds, keep, limit)
