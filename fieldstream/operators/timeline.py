@@ -2,7 +2,7 @@
 
 A window function or a sorted fold hands all rows of a key to one task. A ``Timeline``
 first counts rows per key; keys with more than ``limit`` rows are cut along their order
-column into slices, and a computation then runs in two levels:
+into slices of about equal row count, and a computation then runs in two levels:
 
 1. within every (key, slice), in parallel;
 2. over one summary row per slice of the hot keys, to get what each slice starts with.
@@ -15,32 +15,57 @@ on where the cuts fall.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-GROUP_ROWS = 2_000_000      # rows one task may take for a single key
-SLICE_FACTOR = 4            # slices are this much smaller, against uneven spacing
+from ..session import materialise
+
+GROUP_ROWS = 400_000        # rows one task should take for a single key
+MOST_SLICES = 20_000        # of all hot keys together; slices grow beyond that
 SLICE = "_slice"
+_limits: list[int] = []
+
+
+@contextmanager
+def cut_at(limit: int):
+    """Time lines made inside are cut above ``limit`` rows a key."""
+    _limits.append(limit)
+    try:
+        yield
+    finally:
+        _limits.pop()
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], position: str, limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows and the range of their order column.
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows, and their number of rows; at most
+    ``rows / limit`` keys. The count is pre-aggregated and reads only the key columns."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            .where(F.col("_n") > limit))
 
-    There are at most ``rows / limit`` of them. The count is pre-aggregated before its
-    shuffle and reads only the key and order columns.
+
+def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame,
+           rows: int, limit: int) -> DataFrame:
+    """The rows with a slice number: -1 for keys that are not hot.
+
+    The rows of hot keys are dealt out by Spark's range partitioning on the keys and the
+    whole order. It draws its bounds from a sample of every input partition, so a slice has
+    about as many rows as any other, wherever the values lie; rows that agree in every order
+    column are told apart by a digest of all columns. The dealt rows are written, so that
+    every later use sees the same bounds.
     """
-    n_slices = F.ceil(F.col("_n") * SLICE_FACTOR / F.lit(limit))
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"),
-             F.min(position).alias("_low"), F.max(position).alias("_high"))
-        .where(F.col("_n") > limit)
-        .select(*keys, "_low",
-                F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / n_slices))
-                .cast("long").alias("_width"))
-    )
+    slices = int(min(MOST_SLICES, max(2, -(-2 * rows // limit))))
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, MapType)]
+    same_keys = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    dealt = (df.join(named, same_keys, "left_semi")
+             .repartitionByRange(slices, *keys, *order, F.xxhash64(*plain))
+             .withColumn(SLICE, F.spark_partition_id().cast("long")))
+    return materialise(dealt, "slices").unionByName(
+        df.join(named, same_keys, "left_anti").withColumn(SLICE, F.lit(-1).cast("long")))
 
 
 # Results known to have no hot key, with the keys that were counted. Counting again would
@@ -64,26 +89,21 @@ def _known_cold(df: DataFrame, keys: Sequence[str]) -> bool:
 class Timeline:
     """Rows with keys and a total order within each key.
 
-    ``order[0]`` must be a whole number (microseconds, a line or arrival number); the
-    remaining columns break ties.
+    The order may have any number of columns; how their values are spaced has no influence
+    on the slices.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  limit: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        limit = limit or GROUP_ROWS
-        hot, n_hot = None, 0
+        limit = limit or (_limits[-1] if _limits else GROUP_ROWS)
+        self.split = False
         if not _known_cold(df, self.keys):
-            hot = hot_keys(df, self.keys, self.order[0], limit)
-            n_hot = hot.count()
-        self.split = n_hot > 0
-        if self.split:
-            df = (
-                df.join(hot, self.keys, "left")
-                .withColumn(SLICE, F.coalesce(
-                    F.floor((F.col(self.order[0]) - F.col("_low")) / F.col("_width")), F.lit(-1)))
-                .drop("_low", "_width")
-            )
+            hot = hot_keys(df, self.keys, limit)
+            rows = hot.agg(F.sum("_n")).first()[0] or 0
+            self.split = rows > 0
+            if self.split:
+                df = sliced(df, self.keys, self.order, hot, rows, limit)
         self._rows = df
 
     def _like(self, rows: DataFrame) -> Timeline:

@@ -321,3 +321,40 @@ def test_slots_out_of_range_are_rejects(spark):
     assert [r["slot"] for r in assembly.pick_batches(df, ["session_id"]).collect()] == [3]
     assert sorted(str(r["slot"]) for r in assembly.slot_rejects(df).collect()) == [
         "-1", "12", "None"]
+
+
+@pytest.mark.parametrize("times", ["outlier", "one"])
+def test_slices_have_about_the_same_number_of_rows(spark, times):
+    """Equal widths would leave nearly all rows in one slice."""
+    n = 20_000
+    at = "CASE WHEN id = 0 THEN -1000000000000 ELSE id END" if times == "outlier" else "7L"
+    df = spark.range(0, n, 1, 8).selectExpr("0 k", f"{at} t", "id i")
+    line = Timeline(df, ["k"], ["t", "i"], 2_000)
+    sizes = [r["count"] for r in line._rows.groupBy("_slice").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 2 * n / len(sizes)
+    got = line.scan(nth=("count", F.lit(1))).rows.where("nth <> i + 1").count()
+    assert got == 0
+
+
+def test_rows_that_agree_in_the_whole_order_are_cut_too(spark):
+    df = spark.range(0, 20_000, 1, 8).selectExpr("0 k", "7L t", "id v")
+    line = Timeline(df, ["k"], ["t"], 2_000)
+    sizes = [r["count"] for r in line._rows.groupBy("_slice").count().collect()]
+    assert max(sizes) <= 4_000
+    nth = line.scan(nth=("count", F.lit(1))).rows.select("nth").distinct().count()
+    assert nth == 20_000
+
+
+def test_many_rows_of_one_key_within_the_horizon(spark):
+    """200,000 rows of which none is due: no pair of rows is compared one by one."""
+    import time
+
+    df = spark.range(0, 200_000, 1, 8).selectExpr(
+        "0 k", "id t_us", "cast(id % 19 as double) v")
+    spec = PolicySpec(deltas={"v": 18.5}, heartbeat_s=1.0)
+    began = time.time()
+    got = send_policy.deadband(df, spec, ["k"], limit=30_000).collect()
+    assert time.time() - began < 60
+    # Zero and not zero differ: every 19th row and the one after it.
+    assert sorted(r["t_us"] for r in got) == [
+        i for i in range(200_000) if i % 19 in (0, 1)]
