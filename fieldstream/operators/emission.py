@@ -25,14 +25,15 @@ OUTPUT = "event_type string, prev_t_us bigint"
 SUMMARY = "_starts binary, _ends binary"
 
 
-def _pack(batch: pa.RecordBatch) -> bytes:
+def pack(batch: pa.RecordBatch) -> bytes:
+    """Rows as bytes that a column or a stream's state can hold."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(data: bytes) -> pa.RecordBatch:
+def unpack(data: bytes) -> pa.RecordBatch:
     with pa.ipc.open_stream(data) as reader:
         return reader.read_next_batch()
 
@@ -89,8 +90,8 @@ def _summaries(policy: Policy, parts: Sequence[str], schema: pa.Schema):
         starts = inputs.take(pa.array(start)).append_column(
             "_end", pa.array(place.astype(np.int32)))
         values = [table.column(p).slice(0, 1) for p in parts]
-        values += [pa.array([_pack(starts)], pa.binary()),
-                   pa.array([_pack(inputs.take(pa.array(last)))], pa.binary())]
+        values += [pa.array([pack(starts)], pa.binary()),
+                   pa.array([pack(inputs.take(pa.array(last)))], pa.binary())]
         return pa.RecordBatch.from_arrays(
             [x.cast(f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
 
@@ -143,8 +144,8 @@ def _chain(policy: Policy, keys: Sequence[str], parts: Sequence[str], schema: pa
                     yield pa.RecordBatch.from_arrays(
                         [x.cast(f.type) for x, f in zip(arrays, schema, strict=True)],
                         schema=schema)
-                starts = _unpack(row.column("_starts")[0].as_py())
-                last = _unpack(row.column("_ends")[0].as_py())
+                starts = unpack(row.column("_starts")[0].as_py())
+                last = unpack(row.column("_ends")[0].as_py())
                 if not len(starts):
                     continue
                 goes = starts.column("_end").to_numpy()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..operators.timeline import Timeline
 from ..plans import dimensions as dim
 
 RX_LOG_SCHEMA = "session_id bigint, line_no bigint, rx_us bigint, raw string"
@@ -42,6 +43,37 @@ def complete_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
+def reassembled_lines(chunks: DataFrame, keys: Sequence[str], order: Sequence[str],
+                      raw: str = "raw", limit: int | None = None) -> DataFrame:
+    """(keys, line_no, line): complete lines of captures that were recorded in byte chunks.
+
+    A chunk may end anywhere, also within a character. Lines are numbered per capture from
+    0 by the line feeds before them; a piece at a chunk's edge meets the rest of its line by
+    that number, so only edges are shuffled and a line may span any number of chunks. An
+    unterminated tail is held back. Bytes that are not valid UTF-8 are left out, lines are
+    stripped, and empty ones dropped (their numbers stay unused).
+    """
+    # One character per byte, so that a cut character survives splitting.
+    pieces = F.split(F.decode(F.coalesce(raw, F.lit(b"")), "ISO-8859-1"), "\n")
+    cut = chunks.select(*keys, *order, pieces.alias("_pieces")).withColumn(
+        "_ends", F.size("_pieces") - 1)
+    numbered = Timeline(cut, keys, order, limit).scan(
+        _before=("before", F.col("_ends").cast("long"))).rows
+    single = numbered.select(*keys, *order, "_before", "_ends",
+                             F.posexplode("_pieces").alias("_pos", "_piece"))
+    single = single.withColumn("line_no", F.col("_before") + F.col("_pos"))
+    inner = (F.col("_pos") > 0) & (F.col("_pos") < F.col("_ends"))
+    edges = single.where(~inner).groupBy(*keys, "line_no").agg(
+        F.max(F.col("_pos") < F.col("_ends")).alias("_ended"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_piece"))),
+                                 lambda x: x["_piece"]), "").alias("_piece"))
+    whole = single.where(inner).select(*keys, "line_no", "_piece").unionByName(
+        edges.where("_ended").drop("_ended"))
+    text = t.lenient_utf8(F.encode("_piece", "ISO-8859-1"))
+    return whole.select(*keys, "line_no", t.strip(text).alias("line")).where(
+        F.length("line") > 0)
+
+
 def modem_replies(df: DataFrame, line: str = "line") -> DataFrame:
     """Flag each modem reply line: error, asks for a reset, reports a failed send."""
     return df.withColumns({

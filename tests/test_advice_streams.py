@@ -10,7 +10,8 @@ from workload.oracles import oracles
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["streaming_seq_gap"])
+@pytest.mark.parametrize("name", ["streaming_seq_gap", "streaming_deadband",
+                                  "streaming_heartbeat", "streaming_scan_rx_lines"])
 def test_state_crosses_micro_batches(spark, monkeypatch, name):
     seen = []
 

@@ -23,11 +23,12 @@ from fieldstream.operators import (
     sampling,
     send_policy,
 )
+from fieldstream.operators.timeline import cut_at
 from fieldstream.plans import dimensions as dim
 from fieldstream.plans.layouts import all_decoded_columns, event_csv_columns
 from fieldstream.plans.policies import PolicySpec, ShuntPolicy
-from fieldstream.session import run_dir
-from fieldstream.sinks import files
+from fieldstream.session import materialise, run_dir
+from fieldstream.sinks import files, rejects
 from fieldstream.sources import captures, registers, shunt_text
 from fieldstream.streaming import jobs as streams
 
@@ -277,13 +278,15 @@ def normalize_bms(spark, sf):
             ";")})
 
 
-@job("cell_stats", "vec_id bigint, fitted bigint, cell_v_max_mv bigint, cell_v_min_mv bigint, "
+@job("cell_stats", "vec_id bigint, pack bigint, fitted bigint, cell_v_max_mv bigint, cell_v_min_mv bigint, "
      "cell_v_delta_mv bigint, cell_max_idx bigint, cell_min_idx bigint, cell_sum_v double")
 def cell_stats(spark, sf):
+    """Four packs of sixteen cells from each vector."""
     cells = F.expr(
-        "transform(slice(embedding, 1, 16), (x, i) -> CASE WHEN vec_id % 7 = 0 AND i = 4 THEN 0 "
-        "ELSE cast(floor(3300 + cast(x as double) * 100) as int) END)")
-    packs = i.table(spark, sf, "embeddings").select("vec_id", cells.alias("cells_mv"))
+        "transform(slice(embedding, 16 * pack + 1, 16), (x, i) -> CASE WHEN vec_id % 7 = 0 "
+        "AND i = 4 THEN 0 ELSE cast(floor(3300 + cast(x as double) * 100) as int) END)")
+    packs = i.table(spark, sf, "embeddings").withColumn("pack", F.explode(F.array(
+        *[F.lit(n) for n in range(4)]))).select("vec_id", "pack", cells.alias("cells_mv"))
     return normalize.with_cell_stats(packs)
 
 
@@ -366,7 +369,7 @@ def asof_latest_at_tick(spark, sf):
 
 @job("drive_elapsed", "event_id bigint, session_id bigint, elapsed_s bigint")
 def drive_elapsed(spark, sf):
-    r = i.readings(spark, sf).where("event_type in ('view', 'purchase')").withColumn(
+    r = i.readings(spark, sf).withColumn(
         "current_a", F.col("current_ma").cast("double") / F.lit(1000.0))
     starts = sampling.drive_start(r, S, threshold_a=DRIVE_A)
     return sampling.stamp_elapsed(r, starts, S)
@@ -485,10 +488,12 @@ def heartbeat(spark, sf):
 
 
 @job("commit_on_success", "event_id bigint, session_id bigint, device_id bigint, "
-     "event_type string, prev_t_us bigint, tx_ok boolean")
+     "event_type string, prev_t_us bigint, tx_ok boolean, seq bigint")
 def commit_on_success(spark, sf):
-    return send_policy.deadband(band_readings(spark, sf).drop("event_type"), BAND, D,
-                                ["t_us", "event_id"], ok="tx_ok")
+    """Every attempt takes the next number of its session, a failed one too."""
+    tried = send_policy.deadband(band_readings(spark, sf).drop("event_type"), BAND, D,
+                                 ["t_us", "event_id"], ok="tx_ok")
+    return loss.assign_sequence(tried, S, ["t_us", "event_id"])
 
 
 @job("status_throttle", "event_id bigint, session_id bigint, can_id bigint, prev_t_us bigint")
@@ -498,14 +503,14 @@ def status_throttle(spark, sf):
         status, ["session_id", "can_id"], ["t_us", "event_id"], STATUS_S)
 
 
-@job("rate_limited_warnings", "event_id bigint, session_id bigint, rule string, "
-     "prev_t_us bigint")
+@job("rate_limited_warnings", "k bigint, session_id bigint, rule string, prev_t_us bigint")
 def rate_limited_warnings(spark, sf):
-    rule = F.expr("CASE WHEN c % 104 > 100 THEN 'soc above 100' "
-                  "WHEN c % 19 = 0 THEN 'cell sum differs from pack voltage' END")
-    violations = i.events(spark, sf).withColumn("rule", rule).where("rule is not null")
-    return send_policy.rate_limited_warnings(
-        violations, S, ["t_us", "event_id"], WARNING_S, keep=["rule"])
+    """What the quality rules find, a poll a minute; one warning per spacing is reported."""
+    checked = normalize.with_quality(normalize.bms(i.snapshots(spark, sf))).select(
+        "k", (F.col("k") % 8).alias("session_id"), (F.col("k") * 60_000_000).alias("t_us"),
+        F.posexplode("violations").alias("nth", "rule"))
+    return send_policy.rate_limited_warnings(  # few rows, and costly to find
+        materialise(checked, "violations"), S, ["t_us", "nth"], WARNING_S, keep=["k", "rule"])
 
 
 # ------------------------------------------------------------------ sinks
@@ -593,20 +598,31 @@ def fan_out(spark, sf):
 
 # ------------------------------------------------------------------ streams
 
+CLOSING = -1
+
+
 def stream_files(spark, df: DataFrame, name: str, order: str, parts: int = 4,
-                 files_a_batch: int = 1) -> DataFrame:
-    """Write the rows as a few files in order of ``order`` and open them as a stream.
+                 astray: int = 0) -> DataFrame:
+    """Write the rows as a few files by ``order`` and open them as a stream, a file a batch.
 
-    ``files_a_batch`` files are a micro-batch; with 1 state crosses batches.
+    With ``astray`` a row may stand in an earlier or later file, as if it had been under way
+    for longer or shorter by up to so much; a last file then closes the stream with one row
+    of the session CLOSING, later than all by more than that.
     """
     path = run_dir(spark, name)
     bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    width = max(1, -(-(bounds["hi"] - bounds["lo"] + 1) // parts))
+    low, high = bounds["lo"] or 0, bounds["hi"] or 0
+    width = max(1, -(-(high - low + 1) // parts))
+    under_way = F.pmod(F.xxhash64(*df.columns), F.lit(astray + 1)) if astray else F.lit(0)
+    place = F.least(F.floor((F.col(order) - low + under_way) / width), F.lit(parts - 1))
     for part in range(parts):
-        low = bounds["lo"] + part * width
-        df.where(F.col(order).between(low, low + width - 1)).coalesce(1).write.mode("append").parquet(
-            f"{path}/part={part}")
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_a_batch)
+        df.where(place == part).coalesce(1).write.mode("append").parquet(f"{path}/part={part}")
+    if astray:
+        df.sparkSession.range(1).select(*[
+            F.lit({"session_id": CLOSING, order: high + 2 * astray + 2_000_000}.get(f.name))
+            .cast(f.dataType).alias(f.name) for f in df.schema]).coalesce(1).write.parquet(
+            f"{path}/part={parts}")
+    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
             .parquet(f"{path}/part=*"))
 
 
@@ -623,17 +639,109 @@ def streaming_decode(spark, sf):
     return got.withColumn("num", pairs_text("num", 1000))
 
 
+LOG_LINES = "session_id bigint, line_no bigint, line string"
+
+
+def log_chunks(spark, sf):
+    """The modem's output per session as it was read: chunks that end anywhere."""
+    text = F.encode(F.concat(
+        F.translate("raw", "\n", "|"), F.when(F.col("event_id") % 3 == 0, "é").otherwise(""),
+        F.when(F.col("event_id") % 5 == 0, "").otherwise("\n")), "UTF-8")
+    raw = i.rx_raw(spark, sf).join(i.events(spark, sf).select("event_id", "session_id"),
+                                   "event_id").withColumn("raw", text)
+    size = F.length("raw")
+    at = F.when(F.col("event_id") % 3 == 0, size - 2).otherwise(
+        F.pmod(F.col("event_id"), size + 1)).cast("int")  # often inside the two-byte letter
+    halves = F.array(F.substring(F.col("raw"), F.lit(1), at),
+                     F.substring(F.col("raw"), at + 1, size))
+    return raw.select("session_id", F.posexplode(halves).alias("half", "raw"),
+                      "event_id").select(
+        "session_id", (F.col("event_id") * 2 + F.col("half")).alias("chunk_no"), "raw")
+
+
+@job("scan_rx_lines", LOG_LINES)
+def scan_rx_lines(spark, sf):
+    path = run_dir(spark, "log")
+    log_chunks(spark, sf).write.parquet(path)
+    return captures.reassembled_lines(spark.read.parquet(path), S, ["chunk_no"])
+
+
+@job("streaming_scan_rx_lines", LOG_LINES)
+def streaming_scan_rx_lines(spark, sf):
+    """The same from files that a chunk may reach early or late; a chunk counts as a second."""
+    rows = log_chunks(spark, sf).withColumn("at_us", (F.col("chunk_no") + 1) * 1_000_000)
+    source = stream_files(spark, rows, "log", "at_us", astray=100_000_000)
+    got = drained(spark, streams.line_stream(source, S, ["at_us", "chunk_no"], delay_s=100), "log")
+    return got.where(F.col("session_id") != CLOSING)
+
+
+@job("reject_table", "event_id bigint, stage string, element_pos bigint, reject_reason string")
+def reject_table(spark, sf):
+    """Rejects of all micro-batches; the second one is handed over twice."""
+    base = run_dir(spark, "sides")
+    shape = "event_id bigint, stage string, element_pos int, reject_reason string"
+
+    def write(df, batch_id):
+        sides = rejects.decode_stage(df).select(
+            *[F.col(c).cast(k).alias(c) for c, k in (x.split(" ") for x in shape.split(", "))])
+        for _ in range(1 + (batch_id == 1)):
+            rejects.write_sides(sides, base, batch_id)
+
+    source = stream_files(spark, i.rx_packets(spark, sf), "rx", "t_us")
+    streams.run_batches(streams.decode_stream(source), write, run_dir(spark, "sides-state"))
+    return rejects.read_side(spark, base, rejects.REJECTS, shape)
+
+
 @job("streaming_seq_gap", "session_id bigint, msg_type string, arrival bigint, seq bigint, "
      "prev_seq bigint, gap bigint, lost bigint")
 def streaming_seq_gap(spark, sf):
-    source = stream_files(spark, i.received(spark, sf), "packets", "arrival")
-    return drained(spark, streams.gap_stream(source, S), "gaps")
+    """Packets out of order by up to 200 arrivals; an arrival counts as a second."""
+    rows = i.received(spark, sf).withColumn("at_us", (F.col("arrival") + 1) * 1_000_000)
+    source = stream_files(spark, rows, "packets", "at_us", astray=200_000_000)
+    got = drained(spark, streams.gap_stream(source, S, ["at_us", "arrival"], 200), "gaps")
+    return got.where(F.col("session_id") != CLOSING)
 
 
 @job("streaming_deadband", "event_id bigint, session_id bigint, device_id bigint, "
      "event_type string, prev_t_us bigint")
 def streaming_deadband(spark, sf):
-    rows = band_readings(spark, sf).select(
-        *D, "t_us", "event_id", *BAND.deltas)
-    source = stream_files(spark, rows, "readings", "t_us", files_a_batch=1000)
-    return drained(spark, streams.deadband_stream(source, BAND, D, tie="event_id"), "band")
+    """Readings out of order by up to a day."""
+    day = 24 * i.HOUR_US
+    rows = band_readings(spark, sf).select(*D, "t_us", "event_id", *BAND.deltas)
+    source = stream_files(spark, rows, "readings", "t_us", astray=day)
+    got = drained(spark, streams.deadband_stream(
+        source, BAND, D, ["t_us", "event_id"], day / 1e6), "band")
+    return got.where(F.col("session_id") != CLOSING)
+
+
+@job("streaming_heartbeat", "session_id bigint, sent_us bigint, event_type string, "
+     "t_us bigint, event_id bigint")
+def streaming_heartbeat(spark, sf):
+    """Sessions send every two days, also those that are heard no more."""
+    day = 24 * i.HOUR_US
+    rows = i.readings(spark, sf).where("session_id <> 3 or event_id % 5 = 0").select(
+        *S, "t_us", "event_id")
+    last = rows.agg(F.max("t_us")).first()[0]
+    source = stream_files(spark, rows, "beats", "t_us", astray=day)
+    got = drained(spark, streams.heartbeat_stream(
+        source, BEAT_S, S, ["t_us", "event_id"], day / 1e6), "beats")
+    return got.where((F.col("session_id") != CLOSING) & (F.col("sent_us") <= last))
+
+
+# ------------------------------------------------------------------ hot keys
+
+def cut(job_of: Job, limit: int) -> Job:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with cut_at(limit):
+            return job_of(spark, sf_dir)
+
+    return run
+
+
+#: Ordered jobs once more, with keys of more rows than this cut into slices.
+CUT = {"seq_gap": 100, "running_loss": 300, "session_loss": 100, "seq_assign": 100,
+       "peak_hold": 300, "asof_latest_at_tick": 300, "poll_error_runs": 100,
+       "deadband_generic": 12, "classify_bmv": 12, "heartbeat": 12, "commit_on_success": 12,
+       "status_throttle": 20, "rate_limited_warnings": 100}
+for _name, _limit in CUT.items():
+    JOBS[f"{_name}_cut"], SHAPES[f"{_name}_cut"] = cut(JOBS[_name], _limit), SHAPES[_name]

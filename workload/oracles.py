@@ -232,6 +232,23 @@ UNION ALL
 SELECT event_id, 'packet', 0, 'too short', {_no_cols}, {_no_text} FROM d WHERE event_id % 10 = 5"""
 oracle("decode_line", LINE_SQL, *PACKET_CTES)
 oracle("streaming_decode", LINE_SQL, *PACKET_CTES)
+oracle("reject_table", f"""
+SELECT *, origin AS stage FROM ({LINE_SQL}) AS l WHERE reject_reason IS NOT NULL""", *PACKET_CTES)
+for _name in ("scan_rx_lines", "streaming_scan_rx_lines"):
+    oracle(_name, """
+SELECT * FROM (SELECT session_id, line_no, trim(line, ' ' || chr(13)) AS line FROM (
+ SELECT session_id, unnest(range(len(l) - 1)) AS line_no, unnest(l[1:len(l) - 1]) AS line FROM (
+  SELECT session_id, string_split(string_agg(
+    replace(raw, chr(10), '|') || CASE WHEN event_id % 3 = 0 THEN 'é' ELSE '' END
+    || CASE WHEN event_id % 5 = 0 THEN '' ELSE chr(10) END, '' ORDER BY event_id), chr(10)) AS l
+  FROM log GROUP BY session_id) AS a) AS b) AS c WHERE line <> ''""",
+           """log AS (SELECT event_id, session_id, CASE event_id % 10
+ WHEN 0 THEN 'rxDone' || chr(13) || chr(10) || 'Rssi= -' || event_id WHEN 3 THEN 'b502aa55'
+ WHEN 5 THEN 'null' || chr(13) || chr(10) || '  ' || body WHEN 7 THEN '-48,13'
+ ELSE ' Data: (HEX:) ' || body || ' ,-33,13' || chr(13) || chr(10) || chr(13) || chr(10) || 'OK'
+  || chr(13) || chr(10) END AS raw FROM (SELECT *, array_to_string(list_transform(
+   range(1, (2 + event_id % 20)::BIGINT), lambda i: lpad(lower(to_hex((c * i) % 256)), 2, '0')), ' ')
+  AS body FROM e) AS b)""")
 
 oracle("ascii_events", """
 SELECT event_id, text, kind AS text_kind,
@@ -408,9 +425,10 @@ SELECT *, CASE WHEN k % 23 = 0 THEN 'missing registers 26' END AS reject_reason,
 FROM bat""", POLLS, BATTERY)
 
 oracle("cell_stats", f"""
-SELECT vec_id, {fitted_stats('cells')} FROM (SELECT vec_id, list_transform(range(1, 17),
+SELECT vec_id, pack, {fitted_stats('cells')} FROM (SELECT vec_id, pack, list_transform(range(1, 17),
  lambda p: CASE WHEN vec_id % 7 = 0 AND p = 5 THEN 0
-  ELSE floor(3300 + embedding[p]::DOUBLE * 100)::BIGINT END) AS cells FROM embeddings) AS x""")
+  ELSE floor(3300 + embedding[16 * pack + p]::DOUBLE * 100)::BIGINT END) AS cells
+ FROM (SELECT *, unnest(range(4)) AS pack FROM embeddings) AS y) AS x""")
 
 
 def _s16(a: str, b: str) -> str:
@@ -466,12 +484,12 @@ SELECT event_id, raw_code, fault, {_names} AS fault_name,
  {py_round('ohm', 3)} AS resistance_ohm, {py_round('deg', 2)} AS motor_temp_c,
  {py_round('(deg * 9e0 / 5e0 + 32e0)', 2)} AS motor_temp_f FROM q""", RTD)
 
-oracle("quality_rules", """
-SELECT k, array_to_string(list_filter([
+_violations = """list_filter([
   CASE WHEN abs(cell_sum_v - reg22::DOUBLE / 100) > 1 THEN 'cell sum differs from pack voltage' END,
   CASE WHEN fitted = 0 THEN 'no cell voltages' END,
-  CASE WHEN k % 104 > 100 THEN 'soc above 100' END], lambda x: x IS NOT NULL), '; ') AS violations
-FROM bat""", POLLS, BATTERY)
+  CASE WHEN k % 104 > 100 THEN 'soc above 100' END], lambda x: x IS NOT NULL)"""
+oracle("quality_rules", f"SELECT k, array_to_string({_violations}, '; ') AS violations FROM bat",
+       POLLS, BATTERY)
 
 _labels = ", ".join(f"({r}, '{text}')" for r, text in dim.REGISTER_LABELS)
 oracle("register_profile", """
@@ -538,10 +556,10 @@ FROM k ASOF JOIN (SELECT * FROM r QUALIFY row_number() OVER (
  FROM (SELECT session_id, min(t_us) AS lo, max(t_us) AS hi FROM e GROUP BY 1) AS g)""")
 
 STARTS = f"""starts AS (SELECT session_id, min(t_us) AS s FROM r
- WHERE current_ma::DOUBLE / 1000 < -{j.DRIVE_A} AND event_type IN ('view', 'purchase') GROUP BY 1)"""
+ WHERE current_ma::DOUBLE / 1000 < -{j.DRIVE_A} GROUP BY 1)"""
 oracle("drive_elapsed", """
 SELECT event_id, r.session_id, greatest(coalesce(floor((t_us - s) / 1e6), 0), 0) AS elapsed_s
-FROM r LEFT JOIN starts USING (session_id) WHERE event_type IN ('view', 'purchase')""", R, STARTS)
+FROM r LEFT JOIN starts USING (session_id)""", R, STARTS)
 
 oracle("peak_hold", """
 SELECT *, min(CASE WHEN current_ma < 0 THEN current_ma END) OVER (
@@ -638,7 +656,7 @@ look AS (
 
 
 def fold_sql(name: str, rows: str, keys: str, columns: list[str], decide: str,
-             first: str, accepted: str = "true", extra: str = "") -> None:
+             first: str, accepted: str = "true", extra: str = "", more: str = "") -> None:
     """Recursive walk per key; ``l`` is the state, ``b`` the row looked at.
 
     State columns are prefixed ``s_``; ``s_t`` is NULL while nothing was accepted.
@@ -650,7 +668,7 @@ def fold_sql(name: str, rows: str, keys: str, columns: list[str], decide: str,
     on = " AND ".join(f"b.{k} = l.{k}" for k in keys.split(", "))
     out = f"event_id, {keys}, tx_ok" if "tx_ok" in accepted else f"event_id, {keys}"
     b_out = ", ".join(f"b.{c}" for c in out.split(", "))
-    oracle(name, f"SELECT {out}, {extra} event AS event_type, prev_t_us FROM walk "
+    oracle(name, f"SELECT {out}, {extra} event AS event_type, prev_t_us{more} FROM walk "
            "WHERE event IS NOT NULL",
            E_READ, f"""base AS (SELECT *, row_number() OVER (PARTITION BY {keys}
   ORDER BY t_us, event_id) AS n FROM ({rows}) AS src),
@@ -682,9 +700,21 @@ _band_cols = ["t_us", *j.BAND.deltas]
 for _name in ("deadband_generic", "streaming_deadband"):
     fold_sql(_name, _flagged, "session_id, device_id", _band_cols, _band, "DELTA_UPDATE")
 fold_sql("commit_on_success", _flagged, "session_id, device_id", _band_cols, _band,
-         "DELTA_UPDATE", accepted="tx_ok")
+         "DELTA_UPDATE", accepted="tx_ok", extra="t_us, ",
+         more=", (row_number() OVER (PARTITION BY session_id ORDER BY t_us, event_id) - 1)"
+              " % 65536 AS seq")
 fold_sql("heartbeat", "SELECT * FROM r", "session_id, device_id", ["t_us"],
          f"CASE WHEN {_since(j.BEAT_S)} THEN 'HEARTBEAT' END", "SAMPLE")
+oracle("streaming_heartbeat", f"""
+SELECT b.session_id, b.sent_us, b.event_type, b.t_us, last(x.event_id ORDER BY x.event_id) AS event_id
+FROM (SELECT session_id, sent_us, CASE sent_us WHEN lo THEN 'SAMPLE' ELSE 'HEARTBEAT' END AS event_type,
+  (SELECT max(t_us) FROM heard AS h WHERE h.session_id = s.session_id AND h.t_us <= sent_us) AS t_us
+ FROM (SELECT session_id, lo, unnest(range(lo, hi + 1, {j.BEAT_S * 1_000_000})) AS sent_us
+  FROM (SELECT session_id, min(t_us) AS lo FROM heard GROUP BY 1) AS l,
+   (SELECT max(t_us) AS hi FROM heard) AS m) AS s) AS b
+JOIN heard AS x ON x.session_id = b.session_id AND x.t_us = b.t_us
+GROUP BY b.session_id, b.sent_us, b.event_type, b.t_us""", R,
+       "heard AS (SELECT * FROM r WHERE session_id <> 3 OR event_id % 5 = 0)")
 _ranked = (
     "CASE WHEN l.s_t_us IS NULL THEN 'SAMPLE' "
     "WHEN b.alarm <> l.s_alarm AND b.alarm <> 0 THEN 'ALARM' "
@@ -715,9 +745,10 @@ walk AS (SELECT n, {shown}, true AS kept, NULL::BIGINT AS prev_t_us, t_us AS s_t
 
 spacing_sql("status_throttle", f"SELECT * FROM f1 WHERE {_mapped} AND {_sound} AND packet_id = 1",
             "session_id, can_id", j.STATUS_S, "event_id, session_id, can_id", BUS)
-spacing_sql("rate_limited_warnings", """SELECT *, CASE WHEN c % 104 > 100 THEN 'soc above 100'
- ELSE 'cell sum differs from pack voltage' END AS rule FROM e WHERE c % 104 > 100 OR c % 19 = 0""",
-            "session_id", j.WARNING_S, "event_id, session_id, rule")
+spacing_sql("rate_limited_warnings", f"""SELECT k, k % 8 AS session_id, k * 60000000 AS t_us,
+ k * 4 + unnest(range(len(v))) AS event_id, unnest(v) AS rule FROM (
+ SELECT k, {_violations} AS v FROM bat) AS x""",
+            "session_id", j.WARNING_S, "k, session_id, rule", POLLS, BATTERY)
 
 # ------------------------------------------------------------------ sinks
 
@@ -790,3 +821,8 @@ FROM (SELECT unnest(['parquet', 'broken', 'routed']) AS sink, n, s FROM (
  SELECT count(*) AS n, sum(event_id) AS s FROM (
   SELECT event_id FROM d UNION ALL SELECT event_id FROM texts) AS x) AS y) AS z""",
        *PACKET_CTES, TEXTS)
+
+# ------------------------------------------------------------------ hot keys
+
+for _name in j.CUT:
+    ORACLES[f"{_name}_cut"] = ORACLES[_name]
