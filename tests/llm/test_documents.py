@@ -328,5 +328,5 @@ def test_pipeline_on_edge_rows(spark, make, tmp_path):
 def test_queries_have_their_names():
     from fieldstream.llm.queries import ORACLES, QUERIES
 
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and isinstance(pa.array([1]), pa.Array)
