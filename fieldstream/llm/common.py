@@ -39,6 +39,21 @@ def bounded_sample(rows: DataFrame, key: str, group: str, most: int) -> DataFram
                      F.col(key) == F.col("__key"), "left_semi")
 
 
+#: Bytes of a batch that goes to a Python worker. Texts make batches of the usual 10,000 rows
+#: tens of megabytes, which the JVM, the pipe and the worker each hold.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The rows as they are; from here on the session's Arrow batches hold ARROW_BYTES at most
+    (or less, where the session says so in bytes)."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    now = str(conf.get(name, "")).removesuffix("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+    return df
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """The broadcast hint where the counted rows allow it; else Spark shuffles."""
     return F.broadcast(df) if rows <= most else df

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldstream.llm import kernels as K
+from fieldstream.llm.common import small_batches
 
 U64 = np.uint64
 LEAST = 0.8
@@ -230,7 +231,7 @@ def find(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     Repeated rows count once per id; of several texts with one id the best window counts.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"),
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"),
                         F.col(text_col).cast("string").alias("text"))
     found = None
     for index in _indexes(bench, item_col, item_text_col):
@@ -267,5 +268,5 @@ def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text",
         return without(F.col(text_col).cast("string"))
 
     for index in _indexes(bench, item_col, item_text_col):
-        docs = docs.where(free(index))
+        docs = small_batches(docs).where(free(index))
     return docs

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldstream.llm import kernels as K
-from fieldstream.llm.common import bounded_sample
+from fieldstream.llm.common import bounded_sample, small_batches
 
 UNDETERMINED = "und"
 #: Language codes by family; a code of no family is a family of its own.
@@ -197,7 +197,7 @@ def _decide(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def predict_column(df: DataFrame, model: Model, text: str) -> Column:
     """A struct (lang_pred, score) of a text column."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(df).sparkSession.sparkContext.broadcast(model)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()),
                          T.StructField("score", T.DoubleType())])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstream.llm import kernels as K
-from fieldstream.llm.common import keep
+from fieldstream.llm.common import keep, small_batches
 from fieldstream.llm.tokens import Encoder, with_end
 
 CAPACITY = 2048
@@ -58,8 +58,8 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                      pa.array(crc, pa.int64())],
                     ["id", "piece", "start", "length", "ids_crc32"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("id"),
-                        F.col(text_col).cast("string").alias("text")).mapInArrow(K.tidy(run), PIECE))
+    return (small_batches(docs).select(F.col(id_col).cast("long").alias("id"),
+                                       F.col(text_col).cast("string").alias("text")).mapInArrow(K.tidy(run), PIECE))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:

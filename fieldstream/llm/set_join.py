@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstream.llm import kernels as K
-from fieldstream.llm.common import keep, maybe_broadcast
+from fieldstream.llm.common import keep, maybe_broadcast, small_batches
 from fieldstream.llm.components import components
 
 #: Similarity as a fraction: 100 * common >= 80 * union.
@@ -528,7 +528,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     without an id link to nothing and get a null component. Repeated rows are one document;
     rows that share an id but not a text are joined as separate documents with that id.
     """
-    whole = docs.select(F.col(id_col).cast("long").alias("id"),
+    whole = small_batches(docs).select(F.col(id_col).cast("long").alias("id"),
                         F.col(text_col).cast("string").alias("text"))
     slim = keep(digests(whole), "set-digests")
     known = slim.where(F.col("id").isNotNull() & (F.col("n") >= 1))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldstream.llm import kernels as K
-from fieldstream.llm.common import maybe_broadcast
+from fieldstream.llm.common import maybe_broadcast, small_batches
 from fieldstream.llm.tokens import Encoder, with_end
 from fieldstream.session import run_dir
 
@@ -178,7 +178,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
                      pa.array(runs, pa.binary())], ["id", "n", "crc", "width", "ids"])
 
     layout = "id long, n long, crc long, width int, ids binary"
-    (docs.select(F.col(id_col).cast("long").alias("id"),
+    (small_batches(docs).select(F.col(id_col).cast("long").alias("id"),
                  F.col(text_col).cast("string").alias("text"))
      .mapInArrow(K.tidy(encode), layout).write.option("compression", "zstd").parquet(f"{path}/ids"))
     held = spark.read.schema(layout).parquet(f"{path}/ids")
