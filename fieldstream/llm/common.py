@@ -48,7 +48,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     """The rows as they are; from here on the session's Arrow batches hold ARROW_BYTES at most
     (or less, where the session says so in bytes)."""
     name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    now = str(conf.get(name, "")).removesuffix("b")
+    now = str(conf.get(name)).removesuffix("b")
     if not now.isdigit() or int(now) > ARROW_BYTES:
         conf.set(name, str(ARROW_BYTES))
     return df
