@@ -470,7 +470,7 @@ def _near_in_lists(torn: DataFrame, classes: DataFrame, every: bool) -> DataFram
             .join(classes.select(F.col("a").alias("__a"), "n", "sketch"),
                   F.col("rep") == F.col("__a"))
             .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")))
-    packs = max(1, torn.count() // (4 * TILE))
+    packs = max(1, torn.count() // TILE)
     own = F.pmod(F.xxhash64("list_id"), F.lit(packs))
     pair = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(
         F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
@@ -487,11 +487,10 @@ def _near_in_lists(torn: DataFrame, classes: DataFrame, every: bool) -> DataFram
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         edge = np.append(_group(ids), len(ids))
         found: list[np.ndarray] = []
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            left = lo + np.flatnonzero(tile[lo:hi] == i)
-            right = lo + np.flatnonzero(tile[lo:hi] == j)
-            bits = _folded(sketches[lo:hi])
-            for k in range(0, len(left), 64):
+
+        def meet(left: np.ndarray, right: np.ndarray, bits: np.ndarray, lo: int
+                 ) -> Iterator[np.ndarray]:
+            for k in range(0, len(left) if len(right) else 0, 64):
                 x = left[k:k + 64]
                 apart = np.zeros((len(x), len(right)), np.int32)
                 for w in range(bits.shape[1]):
@@ -506,10 +505,22 @@ def _near_in_lists(torn: DataFrame, classes: DataFrame, every: bool) -> DataFram
                 if not every:
                     has = np.flatnonzero(good.any(axis=1))
                     at = np.where(good[has], apart[has], 1 << 20).argmin(axis=1)
-                    found.append(np.stack([rep[x[has]], rep[right[at]]], 1))
+                    yield np.stack([rep[x[has]], rep[right[at]]], 1)
                 else:
                     u, v = np.nonzero(good)
-                    found.append(np.stack([rep[x[u]], rep[right[v]]], 1))
+                    yield np.stack([rep[x[u]], rep[right[v]]], 1)
+
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            bits = _folded(sketches[lo:hi])
+            left = lo + np.flatnonzero(tile[lo:hi] == i)
+            right = lo + np.flatnonzero(tile[lo:hi] == j)
+            # Two sets of one component need no comparison: the sets of the most frequent one
+            # only meet the others.
+            part, size = np.unique(c[lo:hi], return_counts=True)
+            main = part[np.argmax(size)]
+            for x, y in ((left[c[left] == main], right[c[right] != main]),
+                         (left[c[left] != main], right)):
+                found += meet(x, y, bits, lo)
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()),
@@ -568,8 +579,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                                      "left_anti"), "rest-pairs")
         if not rest.limit(1).count():
             continue
-        links = links.unionByName(keep(verify(rest, named, classes), "rest-links"))
-        found = keep(components(links), "components")
+        more = keep(verify(rest, named, classes), "rest-links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            found = keep(components(links), "components")
         tried = tried.unionByName(rest.toDF("x", "y"))
 
     roots = (found.join(classes.select(F.col("a").alias("__a"), "doc"),
