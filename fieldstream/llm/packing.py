@@ -24,6 +24,7 @@ from fieldstream.llm.common import keep, small_batches
 from fieldstream.llm.tokens import Encoder, with_end
 
 CAPACITY = 2048
+SLICE_BYTES = 2 << 20  # texts that are encoded at once
 PIECES_A_PART = 40_000
 #: Pieces are dealt out at most so often.
 ROUNDS = 8
@@ -39,7 +40,7 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(vocabulary, added_tokens)
         for batch in batches:
-            for first, ids, at in encoder.slices(batch.column(1)):
+            for first, ids, at in encoder.slices(batch.column(1), SLICE_BYTES):
                 ids, at = with_end(ids, at, end)
                 n = np.diff(at)
                 pieces = -(-n // capacity)

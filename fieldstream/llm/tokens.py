@@ -156,14 +156,17 @@ class Encoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def slices(self, texts: pa.Array):
-        """(first row, ids, offsets) for runs of rows of bounded size; null is empty."""
+    def slices(self, texts: pa.Array, most: int = SLICE_BYTES):
+        """(first row, ids, offsets) for runs of rows of about ``most`` bytes; null is empty.
+
+        Work on a slice takes some 25 times its bytes; smaller slices repeat more words.
+        """
         texts = texts.cast(pa.large_string()).fill_null("")
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         first = 0
         while first < len(texts):
             before = size[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(size, before + SLICE_BYTES, "right")))
+            last = max(first + 1, int(np.searchsorted(size, before + most, "right")))
             yield first, *self.encode(texts.slice(first, last - first))
             first = last
 
