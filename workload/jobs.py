@@ -528,11 +528,36 @@ def shunt_rows(spark, sf):
     return files.device_rows(r, "bmv")
 
 
-@job("sink_device_csv", many(BMV_CSV, "string"))
+DEVICE_TEXT = ("mode_name", "fault_name", "raw_hex")
+DEVICE_FIELDS = tuple(dict.fromkeys(c for names in dim.DEVICE_CSV_COLUMNS.values() for c in names))
+DEVICE_SHAPE = "device_type string, timestamp string, device_id bigint, " + ", ".join(
+    f"{c} {'string' if c in DEVICE_TEXT else 'double'}" for c in DEVICE_FIELDS)
+
+
+def device_readings(spark, sf) -> dict[str, DataFrame]:
+    """CSV rows of the four device types, from their normalisers."""
+    bus = normalize.mppt(i.bus(spark, sf)).where("reject_reason is null")
+    polls = i.snapshots(spark, sf).withColumns({
+        "t_us": F.col("k") * 60_000_000, "device_id": F.col("k") % 8})
+    packs = normalize.bms(polls).where("reject_reason is null").withColumn(
+        "device_type", F.lit("bms"))
+    sensors = normalize.rtd(
+        captures.sensor_conversions(i.conversions(spark, sf)).where("reject_reason is null"))
+    return {"bmv": shunt_rows(spark, sf)} | {
+        name: files.device_rows(rows, name)
+        for name, rows in (("mppt", bus), ("bms", packs), ("rtd", sensors))}
+
+
+@job("sink_device_csv", DEVICE_SHAPE)
 def sink_device_csv(spark, sf):
-    path = run_dir(spark, "device-csv")
-    files.write_csv(shunt_rows(spark, sf), path)
-    return files.read_csv(spark, path, BMV_CSV)
+    """A folder and a header for each device type; read back under one header."""
+    base, found = run_dir(spark, "device-csv"), None
+    for name, rows in device_readings(spark, sf).items():
+        files.write_csv(rows, f"{base}/{name}")
+        part = files.read_csv(spark, f"{base}/{name}", rows.columns).withColumn(
+            "device_type", F.lit(name))
+        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
+    return found
 
 
 @job("sink_event_csv", many(event_csv_columns(), "string"))
@@ -568,8 +593,7 @@ def sink_routed(spark, sf):
 @job("sink_line_protocol", "value string")
 def sink_line_protocol(spark, sf):
     path = run_dir(spark, "points")
-    texts = decoded_events(spark, sf).where("msg_type in ('ASCII', 'RTD')")
-    files.write_points(texts, path, tags={"source": "receiver"})
+    files.write_points(decoded_events(spark, sf), path, tags={"source": "receiver"})
     return spark.read.text(path)
 
 

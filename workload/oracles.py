@@ -762,7 +762,28 @@ csv AS (SELECT {_iso.format(us='t_us')} AS timestamp, device_id::VARCHAR AS devi
   AS charge_state, alarm::VARCHAR AS alarm,
  greatest(coalesce(floor((t_us - s) / 1e6), 0), 0)::BIGINT::VARCHAR AS elapsed_s
  FROM r LEFT JOIN starts USING (session_id))"""
-oracle("sink_device_csv", "SELECT * FROM csv", R, CSV_ROWS)
+
+
+def _device_rows(kind: str, given: dict[str, str]) -> str:
+    columns = dim.DEVICE_CSV_COLUMNS[kind]
+    return f"SELECT '{kind}' AS device_type, timestamp, device_id, " + ", ".join(
+        f"{given.get(c, c) if c in columns else 'NULL'} AS {c}" for c in j.DEVICE_FIELDS)
+
+
+_numbers = {c: f"{c}::DOUBLE" for c in dim.DEVICE_CSV_COLUMNS["bmv"]}
+_pack = {f"cell_{n:02d}_mv": f"string_split(cells, ',')[{n}]::DOUBLE" for n in range(1, 17)}
+_pack |= {f"reg_{r}": f"regexp_extract(';' || unidentified, ';{r}=([0-9]+)', 1)::DOUBLE"
+          for r in dim.UNIDENTIFIED_REGISTERS}
+_at = _iso.format(us="t_us") + " AS timestamp"
+oracle("sink_device_csv", f"""
+{_device_rows('bmv', _numbers)} FROM csv
+UNION ALL {_device_rows('mppt', {})} FROM (SELECT n.*, {_at} FROM ({ORACLES['normalize_mppt']}) AS n
+ JOIN e USING (event_id) WHERE reject_reason IS NULL) AS a
+UNION ALL {_device_rows('bms', _pack | {'elapsed_s': 'NULL'})} FROM (
+ SELECT n.*, k % 8 AS device_id, {_iso.format(us='(k * 60000000)')} AS timestamp
+ FROM ({ORACLES['normalize_bms']}) AS n WHERE reject_reason IS NULL) AS b
+UNION ALL {_device_rows('rtd', {'fault_name': "nullif(fault_name, '')"})} FROM (SELECT n.*, e.device_id, {_at}
+ FROM ({ORACLES['normalize_rtd']}) AS n JOIN e USING (event_id)) AS c""", R, CSV_ROWS)
 oracle("sink_schema_rotation", """
 SELECT CASE alarm WHEN '0' THEN 'old' ELSE 'new' END AS layout, timestamp, device_id, voltage_mv,
  CASE WHEN alarm <> '0' THEN alarm END AS alarm FROM csv""", R, CSV_ROWS)
@@ -800,15 +821,18 @@ def _point_number(c: str) -> str:
             f"ELSE {_plain.format(c=c)} END")
 
 
-_point_fields = [("event_type", EVENT_CODE), ("field_mask", "field_mask"),
-                 *[(f"fields_{c}", c) for c in sorted(decoded_columns("RTD"))],
-                 ("seq", "seq"), ("timestamp", "packet_ts"), ("version", "version")]
-_point_text = "concat_ws(',', " + ", ".join(
-    f"CASE WHEN ({c}) IS NOT NULL THEN '{n}=' || ({_point_number(f'({c})::DOUBLE')}) END"
-    for n, c in _point_fields) + ")"
+def _point_text(t: str) -> str:
+    fields = [("event_type", EVENT_CODE), ("field_mask", "field_mask"),
+              *[(f"fields_{c}", c) for c in sorted(decoded_columns(t))],
+              ("seq", "seq"), ("timestamp", "packet_ts"), ("version", "version")]
+    return "concat_ws(',', " + ", ".join(
+        f"CASE WHEN ({c}) IS NOT NULL THEN '{n}=' || ({_point_number(f'({c})::DOUBLE')}) END"
+        for n, c in fields) + ")"
+
+
 oracle("sink_line_protocol", f"""
-SELECT 'telemetry,device_id=' || device_id || ',msg_type=RTD,source=receiver ' || {_point_text}
- || ' ' || (received_us * 1000) AS value FROM d WHERE msg_type = 'RTD'
+SELECT 'telemetry,device_id=' || device_id || ',msg_type=' || msg_type || ',source=receiver '
+ || {_case(lambda t, _: _point_text(t))} || ' ' || (received_us * 1000) AS value FROM d
 UNION ALL
 SELECT 'telemetry,msg_type=ASCII,source=receiver ' || CASE event_id % 2 WHEN 0 THEN 'received=1.0'
  ELSE 'temp=' || c || '.0' END || ',payload="' || text || '" ' || (received_us * 1000)
