@@ -54,7 +54,7 @@ def encode_packets(df: DataFrame, msg_type: str | None = None) -> DataFrame:
               else F.lit(None).cast("double") for n in names]
     code = _by_name(F.upper("device_type"), TYPE_IDS)
     wire = encoder(list(names))
-    clamp_names = F.lit(None).cast("array<string>")
+    clamp_names = F.array().cast("array<string>")
     for t in types:
         clamp_names = F.when(
             F.col("device_type") == t.lower(), F.array(*[F.lit(f.name) for f in LAYOUTS[t]])

@@ -12,7 +12,7 @@ EVENT_TYPE_SQL = (
     "ELSE 'DEVICE_STATUS' END")
 SOURCE_SQL = (
     "CASE event_type WHEN 'view' THEN 'bmv' WHEN 'click' THEN 'mppt' "
-    "WHEN 'purchase' THEN 'bms' WHEN 'signup' THEN 'rtd' END")
+    "WHEN 'purchase' THEN 'bms' WHEN 'signup' THEN 'rtd' ELSE 'gps' END")  # gps has no layout
 
 
 def dbl(expr: str, div: int = 1) -> str:

@@ -39,9 +39,10 @@ def readings(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFram
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One reading per event of a mapped source, with wire columns and sequence number."""
+    """One reading per event, with wire columns and sequence number; those of the source
+    without a layout are turned down by the encoder."""
     e = events(spark, sf_dir).withColumn("device_type", F.expr(f.SOURCE_SQL))
-    e = e.where("device_type is not null").withColumn("msg_type", F.upper("device_type"))
+    e = e.withColumn("msg_type", F.upper("device_type"))
     numbered = assign_sequence(e, ["session_id", "msg_type"], ["t_us", "event_id"])
     return numbered.select(
         "event_id", "t_us", "session_id", "device_id", "device_type", "msg_type", "seq", "c",
@@ -94,7 +95,7 @@ def corrupted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def received(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded headers with losses: every 17th packet never arrived."""
     e = events(spark, sf_dir).withColumn("device_type", F.expr(f.SOURCE_SQL))
-    e = e.where("device_type is not null").withColumn("msg_type", F.upper("device_type"))
+    e = e.withColumn("msg_type", F.upper("device_type"))
     numbered = assign_sequence(e, ["session_id", "msg_type"], ["t_us", "event_id"])
     return numbered.where("event_id % 17 <> 0").select(
         "session_id", "msg_type", "seq", "t_us", F.col("event_id").alias("arrival"))

@@ -82,7 +82,7 @@ def joined(parts: list[str], sep: str = ";") -> str:
 R = "r AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in f.READING.items()) + " FROM e)"
 
 T = ("""t0 AS (SELECT * FROM (SELECT event_id, t_us, session_id, device_id, c,
- """ + f.SOURCE_SQL + """ AS device_type FROM e) AS s WHERE device_type IS NOT NULL),
+ """ + f.SOURCE_SQL + """ AS device_type FROM e) AS s),
 t AS (SELECT *, upper(device_type) AS msg_type,
  (row_number() OVER (PARTITION BY session_id, device_type ORDER BY t_us, event_id) - 1) % 65536
  AS seq, """ + f.EVENT_TYPE_SQL + """ AS event_type, """ + f.PACKET_TS + """ AS packet_ts,
@@ -119,7 +119,7 @@ CLAMPED = _case(lambda t, fields: "array_to_string(list_filter([" + ", ".join(
     for x in fields) + "], lambda x: x IS NOT NULL), ',')")
 PAYLOAD = _case(lambda t, fields: " || ".join(
     f"coalesce({hx(_clamped(t, x), x.size)}, '')" for x in fields))
-ERROR = "CASE WHEN msg_type = 'MPPT' AND mppt_index IS NULL THEN 'missing mppt_index' END"
+ERROR = "CASE WHEN msg_type = 'GPS' THEN 'wrong device_type' WHEN msg_type = 'MPPT' AND mppt_index IS NULL THEN 'missing mppt_index' END"
 TYPE_CODE = "CASE msg_type " + " ".join(f"WHEN '{t}' THEN {n}" for t, n in TYPE_IDS.items()) + " END"
 EVENT_CODE = "CASE event_type " + " ".join(
     f"WHEN '{t}' THEN {n}" for t, n in EVENT_IDS.items()) + " END"
