@@ -40,33 +40,32 @@ def register_snapshot(replies: DataFrame, keys: Sequence[str],
                       order: str = "start") -> DataFrame:
     """One address-to-value map per poll; a poll with any rejected reply is left out.
 
-    Repeated replies of one range are reduced before the shuffle (the latest stays), so a
-    poll collects one array per distinct range at most. Later ranges win on overlaps.
+    Replies are laid over each other in the sequence of ``order``: where ranges overlap, or
+    one was asked for again, the later reply wins (of equal ones the larger values). Repeats
+    of one range are reduced before the shuffle, so a poll collects one array per distinct
+    range at most, and its entries are sorted once.
     """
-    ranges = replies.groupBy(*keys, "start").agg(
-        F.max_by("registers", order).alias("registers"),
+    ranges = replies.groupBy(*keys, "start", F.size("registers").alias("_n")).agg(
+        F.max(F.struct(F.col(order).alias("at"), F.col("registers").alias("values")))
+        .alias("_last"),
         F.max(F.col("reject_reason").isNotNull()).alias("_failed"))
     polls = ranges.groupBy(*keys).agg(
         F.bool_or("_failed").alias("_failed"),
-        F.sort_array(F.collect_list(F.struct("start", "registers"))).alias("_ranges"))
-    entries = F.flatten(F.transform("_ranges", lambda r: F.transform(
-        r["registers"], lambda v, i: F.struct((r["start"] + i).alias("key"), v.alias("value")))))
+        F.sort_array(F.collect_list(F.struct("_last.at", "start", "_last.values")))
+        .alias("_ranges"))
+    laid = F.array_sort(F.flatten(F.transform("_ranges", lambda r, turn: F.transform(
+        r["values"], lambda v, i: F.struct(
+            (r["start"] + i).alias("key"), turn.alias("turn"), v.alias("value"))))))
+    # Of each address the last entry stays: the one that the next address follows.
+    last = F.filter("_laid", lambda e, i: F.coalesce(
+        F.get(F.col("_laid"), i + 1)["key"] != e["key"], F.lit(True)))
     return (
-        polls.where(~F.col("_failed"))
-        .withColumn("_entries", entries)
-        .select(*keys, F.map_from_entries(_unique(F.col("_entries"))).alias("registers"))
+        polls.where(~F.col("_failed")).withColumn("_laid", laid)
+        .select(*keys, F.map_from_entries(F.transform(last, lambda e: F.struct(
+            e["key"].alias("key"), e["value"].alias("value")))).alias("registers"))
     )
 
 
-def _unique(entries):
-    """Entries with one value per address. The declared ranges never overlap, so this
-    costs a set-size test; only overlapping captures pay for the search."""
-    keys = F.transform(entries, lambda e: e["key"])
-    searched = F.filter(entries, lambda e, i: ~F.exists(
-        F.slice(keys, i + 2, F.size(keys)), lambda k: k == e["key"]))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(searched)
-
-
 def _printable(u16: Column) -> Column:
     return (F.shiftright(u16, 8).between(32, 126)
             & u16.bitwiseAND(F.lit(255)).between(32, 126))

@@ -155,3 +155,15 @@ def test_flatten_and_registry(spark):
     assert {s.msg_type for s in SOURCES.values()} == {"BMV", "BMS", "RTD", "MPPT"}
     assert points.packet_lines(
         df.withColumn("msg_type", F.lit("X")), {"X": lambda: F.lit("mine")}).first()["line"] == "mine"
+
+
+def test_later_replies_are_laid_over_earlier_ones(spark):
+    """Two input orders agree; a later reply wins where ranges overlap or repeat."""
+    rows = [(1, 0, 0, [1, 2, 3, 4]), (1, 2, 1, [30, 40, 50]), (1, 0, 2, [10, 20, 300, 400]),
+            (1, 3, 3, [9]), (2, 5, 1, [7]), (2, 5, 0, [6])]
+    schema = "poll int, start int, nth int, registers array<int>"
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, schema).selectExpr("*", "cast(null as string) reject_reason")
+        got = {r["poll"]: r["registers"]
+               for r in registers.register_snapshot(df, ["poll"], "nth").collect()}
+        assert got == {1: {0: 10, 1: 20, 2: 300, 3: 9, 4: 50}, 2: {5: 7}}

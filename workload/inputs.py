@@ -238,18 +238,29 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE registers END").alias("registers"))
 
 
-def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reply frames of every poll; some spoiled, some polls lack their second reply."""
-    ranges = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(n).alias("count"))
-                       for s, n in dim.request_chunks()])
+#: Ranges that some polls ask for again, or anew across others: start, count, what the
+#: registers have risen by since, and which polls.
+AGAIN = ((0, 32, 1, "k % 5 = 0"), (10, 6, 2, "k % 7 = 0"), (30, 8, 3, "k % 10 = 0"))
+
+
+def replies(spark: SparkSession, sf_dir: str, again: bool = False) -> DataFrame:
+    """Reply frames of every poll; some spoiled, some polls lack their second reply.
+
+    With ``again`` some polls read ranges a second time, in the order of ``reply_no``.
+    """
+    wanted = [(s, n, 0, "true") for s, n in dim.request_chunks()] + list(AGAIN if again else ())
+    ranges = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(n).alias("count"),
+                                F.lit(add).alias("add"), F.lit(turn).alias("reply_no"))
+                       for turn, (s, n, add, _) in enumerate(wanted)])
     asked = polls(spark, sf_dir).select("k", "session_id", "regs", F.explode(ranges).alias("_r"))
-    asked = asked.select("k", "session_id", "regs", "_r.start", "_r.count").where(
-        "NOT (k % 23 = 0 AND start = 32)")
+    asked = asked.select("k", "session_id", "regs", "_r.*").where(
+        "NOT (k % 23 = 0 AND start = 32)").where(" OR ".join(
+            f"(reply_no = {turn} AND {which})" for turn, (_, _, _, which) in enumerate(wanted)))
     asked = asked.withColumns({
-        "fault": F.expr(f.REPLY_FAULT),
+        "fault": F.expr(f"CASE WHEN add = 0 THEN {f.REPLY_FAULT} END"),
         "data": F.expr(
             "array_join(transform(slice(regs, if(start < 100, start, start - 71) + 1, count), "
-            "v -> lpad(hex(v), 4, '0')), '')")})
+            "v -> lpad(hex((v + add) % 65536), 4, '0')), '')")})
     body = F.concat(
         F.when(F.col("fault") == 2, "02").otherwise("01"),
         F.when(F.col("fault") == 6, "04").otherwise("03"),
@@ -264,7 +275,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         asked.withColumn("_body", F.unhex(body)).withColumn("_whole", whole)
         .select("k", "session_id", F.lit(1).alias("address"), F.lit(3).alias("func"),
-                "start", "count",
+                "start", "count", "reply_no",
                 F.when(F.col("fault") == 1, flipped)
                 .when(F.col("fault") == 5, F.substring("_whole", 1, 3))
                 .otherwise(F.col("_whole")).alias("frame"))

@@ -201,7 +201,7 @@ def modbus_replies(spark, sf):
      "missing string")
 def modbus_snapshot(spark, sf):
     snap = registers.register_snapshot(
-        registers.register_replies(i.replies(spark, sf)), ["k"])
+        registers.register_replies(i.replies(spark, sf, again=True)), ["k"], "reply_no")
     return snap.select(
         "k", F.size("registers").alias("n_registers"),
         F.aggregate(F.map_values("registers"), F.lit(0).cast("long"), lambda a, x: a + x)

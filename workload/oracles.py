@@ -17,6 +17,7 @@ from fieldstream.plans.layouts import (
 )
 
 from . import formulas as f
+from . import inputs
 from . import jobs as j
 
 TYPES = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -354,11 +355,22 @@ SELECT k, start, reject_reason,
  CASE WHEN reject_reason IS NULL THEN list_sum(regs) END AS reg_sum,
  CASE WHEN reject_reason IS NULL THEN regs[1] END AS first_reg,
  CASE WHEN reject_reason IS NULL THEN regs[n] END AS last_reg FROM asked""", POLLS, REPLIES)
-oracle("modbus_snapshot", """
-SELECT k, sum(n) AS n_registers, sum(list_sum(regs)) AS reg_sum,
- max(CASE WHEN start = 0 THEN regs[22] END) AS soc,
- CASE WHEN k % 23 = 0 THEN '32,41' ELSE '' END AS missing
-FROM asked GROUP BY k HAVING count(reject_reason) = 0""", POLLS, REPLIES)
+_reads = [(a, n, 0, "true") for a, n in dim.request_chunks()] + list(inputs.AGAIN)
+_required = ", ".join(map(str, sorted(dim.BATTERY_REGISTERS.values())))
+oracle("modbus_snapshot", f"""
+SELECT k, count(*) AS n_registers, sum(v) AS reg_sum, max(CASE WHEN reg = 21 THEN v END) AS soc,
+ array_to_string(list_filter([{_required}], lambda r: NOT list_contains(list(reg), r)), ',')
+  AS missing
+FROM (SELECT k, reg, arg_max(v, turn) AS v FROM (
+  SELECT k, reg, turn, (({f.register('reg')}) + add)::BIGINT % 65536 AS v FROM (
+   SELECT pv.*, turn, add, unnest(range(start, start + n)) AS reg
+   FROM pv, (VALUES {", ".join(f"({a}, {n}, {d}, {t})" for t, (a, n, d, _) in enumerate(_reads))})
+    AS w(start, n, add, turn)
+   WHERE NOT (k % 23 = 0 AND start = 32)
+    AND ({" OR ".join(f"(turn = {t} AND {c})" for t, (_, _, _, c) in enumerate(_reads))})) AS x) AS y
+ GROUP BY k, reg) AS z
+WHERE k IN (SELECT k FROM asked GROUP BY k HAVING count(reject_reason) = 0) GROUP BY k""",
+       POLLS, REPLIES)
 
 _bytes = ("array_to_string(list_transform(range(1, (1 + size)::BIGINT), "
           "lambda p: lpad(lower(to_hex((c * p) % 256)), 2, '0')), '')")
