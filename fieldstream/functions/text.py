@@ -129,16 +129,16 @@ def text_candidates(text: Column) -> dict[str, Column]:
     }
 
 
-def text_fields() -> Column:
+def text_fields(csv_values: int | None = CSV_VALUES) -> Column:
     """Struct(kind, num, str) chosen from the columns of ``text_candidates``.
 
     Tried in turn: JSON object, ``key=value`` pairs, one number, a list of numbers (the
-    first five are kept), and otherwise bare text.
+    first ``csv_values`` are kept, None: all), and otherwise bare text.
     """
     json, kv, scalar, csv = (F.col(c) for c in ("_json", "_kv", "_scalar", "_csv"))
     csv_ok = (F.size(csv) >= 2) & F.forall(csv, lambda v: v.isNotNull())
     csv_entries = F.transform(
-        F.slice(csv, 1, CSV_VALUES),
+        csv if csv_values is None else F.slice(csv, 1, csv_values),
         lambda v, i: F.struct(F.concat(F.lit("value_"), i.cast("string")), v))
     no_num = F.expr("cast(map() as map<string,double>)")
     no_str = F.expr("cast(map() as map<string,string>)")

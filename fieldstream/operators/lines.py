@@ -35,15 +35,17 @@ def payload_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def ascii_events(df: DataFrame, payload: str = "payload") -> DataFrame:
+def ascii_events(df: DataFrame, payload: str = "payload",
+                 csv_values: int | None = t.CSV_VALUES) -> DataFrame:
     """Read payload bytes as text: ``text``, ``text_kind``, ``num`` and ``str`` maps.
 
-    ``text`` is NULL where the payload is empty or not valid UTF-8.
+    ``text`` is NULL where the payload is empty or not valid UTF-8. Of a list of numbers
+    the first ``csv_values`` are kept (None: all).
     """
     cleaned = df.withColumn("text", F.nullif(t.clean_ascii(F.col(payload)), F.lit("")))
     return (
         cleaned.withColumns(t.text_candidates(F.col("text")))
-        .withColumn("_fields", F.when(F.col("text").isNotNull(), t.text_fields()))
+        .withColumn("_fields", F.when(F.col("text").isNotNull(), t.text_fields(csv_values)))
         .select(*[c for c in cleaned.columns if c != "payload_hex"],
                 hex_text(F.col(payload)).alias("payload_hex"),
                 F.col("_fields.kind").alias("text_kind"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from ..functions.text import iso_utc
 from ..operators.points import event_points, line_protocol, route
 from ..plans import dimensions as dim
 from ..plans.layouts import all_decoded_columns, event_csv_columns
+from ..session import materialise
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -111,19 +111,16 @@ def fan_out(events: DataFrame, sinks: dict[str, Sink], batch_id: int = 0) -> Dat
     """Hand the events to every sink; one that fails does not stop the others.
 
     Returns one row per sink: name, whether it worked, and the error's type. The rows are
-    kept on executor disks while the sinks run, so the input is computed once; lost blocks
-    are recomputed.
+    written to the shared folder first, so the input is computed once and a lost executor
+    costs nothing.
     """
-    held = events.persist(StorageLevel.DISK_ONLY)
+    held = materialise(events, "fan-out")
     outcomes = []
-    try:
-        for name, sink in sinks.items():
-            try:
-                sink(held, batch_id)
-                outcomes.append((name, True, None))
-            except Exception as error:  # noqa: BLE001 - a failing sink is an outcome
-                outcomes.append((name, False, type(error).__name__))
-    finally:
-        held.unpersist()
+    for name, sink in sinks.items():
+        try:
+            sink(held, batch_id)
+            outcomes.append((name, True, None))
+        except Exception as error:  # noqa: BLE001 - a failing sink is an outcome
+            outcomes.append((name, False, type(error).__name__))
     return events.sparkSession.createDataFrame(
         outcomes, "sink string, ok boolean, error string")

@@ -88,3 +88,12 @@ def test_iso_text(spark):
     got = [r[0] for r in df.select(text.iso_utc(F.col("t"))).collect()]
     assert got == ["1970-01-01T00:00:00+00:00", "2023-11-14T22:13:20+00:00",
                    "2106-02-07T06:28:15+00:00"]
+
+
+@pytest.mark.parametrize("most, kept", [(5, 5), (2, 2), (None, 7)])
+def test_numbers_kept_of_a_list(spark, most, kept):
+    from fieldstream.operators.lines import ascii_events
+
+    df = spark.createDataFrame([(b"1,2,3,4,5,6,7",)], "payload binary")
+    num = ascii_events(df, csv_values=most).first()["num"]
+    assert num == {f"value_{i}": float(i + 1) for i in range(kept)}
