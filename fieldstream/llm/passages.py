@@ -10,8 +10,9 @@ cut to the start of the text. Chunks are compared by a 128-bit digest of their w
 
 A digest that at least two documents hold is repeated, and touching repeated chunks make a
 passage. Of a shared run of n words whose first GEAR bytes hold s words, at least
-``n - s - 2 * (WINDOW - 1) - LEAST_CHUNK`` are covered: 51 words cannot pass unseen. Words are
-``[^\\x20\\x09-\\x0D]+``; case counts, the kind and amount of white space does not. A chunk of
+``n - s - 2 * (WINDOW - 1) - LEAST_CHUNK`` are covered. A run of 51 words is thus seen unless
+its first GEAR bytes hold more than 5 words; runs of such short words may be missed, because
+a passage needs LEAST_WORDS covered words. Words are ``[^\\x20\\x09-\\x0D]+``; case counts, the kind and amount of white space does not. A chunk of
 one word over and over tells nothing about where a text comes from and is left out.
 """
 
