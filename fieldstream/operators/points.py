@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +42,39 @@ def flatten(df: DataFrame, max_items: int | None = None) -> dict[str, Column]:
     return flat
 
 
+def unnested(df: DataFrame, event: str, keep: Sequence[str]) -> DataFrame:
+    """(keep, path, num, str): one row per value of a nested column, of any depth and length.
+
+    The path joins field names, array positions from 0 and map keys by ``_``. The schema
+    says where to descend, the rows how far. Numbers and booleans come as ``num``, all else
+    as ``str``; null values, null or empty arrays and maps give no row.
+    """
+    def values(column: Column, kind: T.DataType, path: Column) -> Column:
+        def below(name: Column) -> Column:
+            return F.concat_ws("_", path, name.cast("string"))
+
+        if isinstance(kind, T.StructType):
+            parts = [values(column[x.name], x.dataType, below(F.lit(x.name))) for x in kind]
+            return F.concat(*parts)
+        if isinstance(kind, T.ArrayType):
+            found = F.flatten(F.transform(
+                column, lambda x, i: values(x, kind.elementType, below(i))))
+        elif isinstance(kind, T.MapType):
+            found = F.flatten(F.transform(F.map_entries(column), lambda e: values(
+                e["value"], kind.valueType, below(e["key"]))))
+        else:
+            number = isinstance(kind, NUMERIC)
+            return F.filter(F.array(F.struct(
+                path.alias("path"),
+                (column if number else F.lit(None)).cast("double").alias("num"),
+                (F.lit(None) if number else column).cast("string").alias("str"))),
+                lambda _: column.isNotNull())
+        return F.coalesce(found, F.array().cast("array<struct<path:string,num:double,str:string>>"))
+
+    rows = values(F.col(event), df.schema[event].dataType, F.lit(None).cast("string"))
+    return df.select(*keep, F.explode(rows).alias("_value")).select(*keep, "_value.*")
+
+
 def _code(name: Column, numbers: dict[str, int]) -> Column:
     found = F.lit(None).cast("int")
     for text, number in numbers.items():

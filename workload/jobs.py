@@ -345,6 +345,15 @@ def influx_points(spark, sf):
         "tags": pairs_text("tags"), "num": pairs_text("num", 10_000), "str": pairs_text("str")})
 
 
+@job("flatten_event", "k bigint, path string, num double, str string")
+def flatten_event(spark, sf):
+    """Battery readings with their lists and maps, value by value."""
+    packs = normalize.with_quality(normalize.bms(i.snapshots(spark, sf))).select(
+        "k", F.struct("soc_pct", "cells_mv", "violations", F.create_map(
+            F.lit("raw"), F.struct("unidentified")).alias("more")).alias("event"))
+    return points.unnested(packs, "event", ["k"])
+
+
 @job("format_packet_line", "event_id bigint, line string")
 def format_packet_line(spark, sf):
     return points.packet_lines(packets.decode_packets(i.packets(spark, sf)))

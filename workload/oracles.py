@@ -503,6 +503,17 @@ _violations = """list_filter([
 oracle("quality_rules", f"SELECT k, array_to_string({_violations}, '; ') AS violations FROM bat",
        POLLS, BATTERY)
 
+oracle("flatten_event", f"""
+SELECT k, 'soc_pct' AS path, (k % 104)::DOUBLE AS num, NULL AS str FROM bat
+UNION ALL SELECT k, 'cells_mv_' || p, cells_mv[p + 1]::DOUBLE, NULL
+ FROM (SELECT *, unnest(range(16)) AS p FROM bat) AS a
+UNION ALL SELECT k, 'violations_' || p, NULL, v[p + 1] FROM (
+ SELECT k, v, unnest(range(len(v))) AS p FROM (SELECT k, {_violations} AS v FROM bat) AS b) AS c
+UNION ALL SELECT k, 'more_raw_unidentified_' || r, x::DOUBLE, NULL FROM (
+ SELECT k, unnest([{", ".join(str(r) for r in dim.UNIDENTIFIED_REGISTERS)}]) AS r,
+  unnest([{", ".join(f"({f.register(str(r))})::BIGINT" for r in dim.UNIDENTIFIED_REGISTERS)}]) AS x
+ FROM bat) AS d""", POLLS, BATTERY)
+
 _labels = ", ".join(f"({r}, '{text}')" for r, text in dim.REGISTER_LABELS)
 oracle("register_profile", """
 SELECT reg, coalesce(label, '') AS label, count(*) AS polls, min(u) AS u16_min, max(u) AS u16_max,
