@@ -65,7 +65,7 @@ def reassembled_lines(chunks: DataFrame, keys: Sequence[str], order: Sequence[st
     inner = (F.col("_pos") > 0) & (F.col("_pos") < F.col("_ends"))
     edges = single.where(~inner).groupBy(*keys, "line_no").agg(
         F.max(F.col("_pos") < F.col("_ends")).alias("_ended"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_piece"))),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "_piece"))),
                                  lambda x: x["_piece"]), "").alias("_piece"))
     whole = single.where(inner).select(*keys, "line_no", "_piece").unionByName(
         edges.where("_ended").drop("_ended"))

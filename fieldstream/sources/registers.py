@@ -53,7 +53,7 @@ def register_snapshot(replies: DataFrame, keys: Sequence[str],
         F.bool_or("_failed").alias("_failed"),
         F.sort_array(F.collect_list(F.struct("_last.at", "start", "_last.values")))
         .alias("_ranges"))
-    laid = F.array_sort(F.flatten(F.transform("_ranges", lambda r, turn: F.transform(
+    laid = F.sort_array(F.flatten(F.transform("_ranges", lambda r, turn: F.transform(
         r["values"], lambda v, i: F.struct(
             (r["start"] + i).alias("key"), turn.alias("turn"), v.alias("value"))))))
     # Of each address the last entry stays: the one that the next address follows.
