@@ -27,13 +27,13 @@ from ..session import materialise
 GROUP_ROWS = 400_000        # rows one task should take for a single key
 MOST_SLICES = 20_000        # of all hot keys together; slices grow beyond that
 SLICE = "_slice"
-_limits: list[int] = []
+_limits: list[tuple[int, int]] = []
 
 
 @contextmanager
-def cut_at(limit: int):
-    """Time lines made inside are cut above ``limit`` rows a key."""
-    _limits.append(limit)
+def cut_at(limit: int, most_slices: int = MOST_SLICES):
+    """Time lines made inside are cut above ``limit`` rows a key, into so many slices at most."""
+    _limits.append((limit, most_slices))
     try:
         yield
     finally:
@@ -48,7 +48,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
 
 
 def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame,
-           rows: int, limit: int) -> DataFrame:
+           rows: int, limit: int, most_slices: int) -> DataFrame:
     """The rows with a slice number: -1 for keys that are not hot.
 
     The rows of hot keys are dealt out by Spark's range partitioning on the keys and the
@@ -57,7 +57,7 @@ def sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFr
     column are told apart by a digest of all columns. The dealt rows are written, so that
     every later use sees the same bounds.
     """
-    slices = int(min(MOST_SLICES, max(2, -(-2 * rows // limit))))
+    slices = int(min(most_slices, max(2, -(-2 * rows // limit))))
     plain = [f.name for f in df.schema if not isinstance(f.dataType, MapType)]
     same_keys = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
@@ -96,14 +96,15 @@ class Timeline:
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  limit: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        limit = limit or (_limits[-1] if _limits else GROUP_ROWS)
+        inside, most_slices = _limits[-1] if _limits else (GROUP_ROWS, MOST_SLICES)
+        limit = limit or inside
         self.split = False
         if not _known_cold(df, self.keys):
             hot = hot_keys(df, self.keys, limit)
             rows = hot.agg(F.sum("_n")).first()[0] or 0
             self.split = rows > 0
             if self.split:
-                df = sliced(df, self.keys, self.order, hot, rows, limit)
+                df = sliced(df, self.keys, self.order, hot, rows, limit, most_slices)
         self._rows = df
 
     def _like(self, rows: DataFrame) -> Timeline:

@@ -765,7 +765,7 @@ def streaming_heartbeat(spark, sf):
 
 def cut(job_of: Job, limit: int) -> Job:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with cut_at(limit):
+        with cut_at(limit, most_slices=32):
             return job_of(spark, sf_dir)
 
     return run
