@@ -180,8 +180,9 @@ def run_policy(timeline: Timeline, policy: Policy, keep: Sequence[str]) -> DataF
         .mapInArrow(_summaries(policy, parts, to_arrow_schema(summary)), summary)
         .repartition(*timeline.keys).sortWithinPartitions(*timeline.keys, SLICE)
         .mapInArrow(_chain(policy, timeline.keys, parts, to_arrow_schema(entry)), entry))
+    both = timeline.wide(columns).withColumn(SEED, F.lit(False)).unionByName(
+        starts.withColumn(SEED, F.lit(True)), allowMissingColumns=True)
     seeded = (
-        timeline.wide(columns).withColumn(SEED, F.lit(False))
-        .unionByName(starts.withColumn(SEED, F.lit(True)), allowMissingColumns=True)
-        .repartition(*parts).sortWithinPartitions(*parts, F.desc(SEED), *timeline.order))
+        timeline.deal(both, parts)
+        .sortWithinPartitions(*parts, F.desc(SEED), *timeline.order))
     return seeded.mapInArrow(attempts(policy, parts, passed, arrow, True), schema)

@@ -186,16 +186,17 @@ def run_fold(timeline: Timeline, fold: Fold, keep: Sequence[str]) -> DataFrame:
     summary = _schema(rows, parts, "_summary string")
     entry = _schema(rows, parts, f"{ENTRY} string")
     entries = (
-        rows.where(F.col(SLICE) >= 0)
+        timeline.sorted_parts(fold.inputs).where(F.col(SLICE) >= 0)
         .mapInArrow(_summariser(fold, parts, to_arrow_schema(summary)), summary)
         .repartition(*timeline.keys).sortWithinPartitions(*timeline.keys, SLICE)
         .mapInArrow(_chainer(fold, timeline.keys, parts, to_arrow_schema(entry)), entry)
         .where(F.col(ENTRY).isNotNull())
     )
     # A seed row carries a slice's start; its order columns are NULL, so it sorts first.
+    both = timeline.wide(columns).withColumn(ENTRY, F.lit(None).cast("string")).unionByName(
+        entries, allowMissingColumns=True)
     seeded = (
-        timeline.wide(columns).withColumn(ENTRY, F.lit(None).cast("string"))
-        .unionByName(entries, allowMissingColumns=True)
-        .repartition(*parts).sortWithinPartitions(*parts, *timeline.order)
+        timeline.deal(both, parts)
+        .sortWithinPartitions(*parts, *timeline.order)
     )
     return seeded.mapInArrow(_runner(fold, parts, passed, arrow, True), schema)

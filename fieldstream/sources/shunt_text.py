@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import binary as b
 from ..functions import text as t
 from ..operators.fold import Fold, run_fold
-from ..operators.timeline import Timeline, inherit
+from ..operators.timeline import Timeline, inherit, known_cold
 from ..plans.policies import REPORT_SECONDS
+from ..session import materialise
 
 REQUIRED_KEYS = ("V", "I", "P")
 BLOCK_END = "Checksum"
@@ -39,16 +40,19 @@ def text_blocks(df: DataFrame, keys: Sequence[str], order: str = "line_no",
     garbage and blank ones too, counts in its byte sum. An unfinished block at the end of
     a capture is left out. Pairs are reduced to the last value per key before a block
     collects them, and only valid blocks do, so a run of noise never becomes one big map.
-    All of it works on one shuffle by session; there is no join.
+    After the shuffle by session all of it works on one shuffle by block.
     """
-    numbered = Timeline(parse_lines(df, raw), keys, [order], limit).scan(
-        block_no=("before", F.col("ends_block").cast("long"))).rows
+    parsed = parse_lines(df, raw).select(
+        *keys, order, "byte_sum", "key", "value", "ends_block",
+        (F.length("text") > 0).alias("_has_text"))
+    line = Timeline(parsed, keys, [order], limit)
+    numbered = line.scan(block_no=("before", F.col("ends_block").cast("long"))).rows
     block = [*keys, "block_no"]
     at = F.col(order)
-    per_key = numbered.groupBy(*block, "key").agg(
+    per_key = line.deal(numbered, block).groupBy(*block, "key").agg(
         F.max_by("value", at).alias("value"),
         F.count(F.lit(1)).alias("_lines"),
-        F.sum((F.length("text") > 0).cast("int")).alias("_seen"),
+        F.count_if("_has_text").alias("_seen"),
         F.sum("byte_sum").alias("_sum"),
         F.max(F.when(F.col("ends_block"), at)).alias("_end"))
     whole = Window.partitionBy(*block)
@@ -118,7 +122,10 @@ def accumulate(blocks: DataFrame, keys: Sequence[str],
     """
     present = sum((F.when(F.map_contains_key("fields", F.lit(k)), 1 << i).otherwise(0)
                    for i, k in enumerate(required)), F.lit(0))
-    valid = inherit(blocks.where("ok").withColumn("_present", present), blocks)
+    valid = inherit(
+        blocks.where("ok").select(*keys, "block_no", "fields", present.alias("_present")), blocks)
+    if not known_cold(valid, keys):  # they are counted, dealt and folded: worked out once
+        valid = materialise(valid, "blocks")
     return run_fold(
         Timeline(valid, keys, ["block_no"], limit), _Accumulate(len(required)), ["fields"])
 
@@ -184,20 +191,21 @@ def text_health(df: DataFrame, keys: Sequence[str], time_us: str = "rx_us",
     Intervals are fixed tumbling windows; the device-side counters instead start a new
     interval at the first event after the last report.
     """
-    parsed = parse_lines(df, raw)
-    numbered = Timeline(parsed, keys, [order], limit).scan(
-        block_no=("before", F.col("ends_block").cast("long"))).rows
     slot = F.floor(F.col(time_us) / F.lit(seconds * 1_000_000)) * seconds
-    lines = numbered.where(F.length("text") > 0).groupBy(*keys, slot.alias("window_s")).agg(
-        F.count(F.lit(1)).alias("lines"))
-    blocks = (
-        numbered.groupBy(*keys, "block_no").agg(
-            F.max(F.when(F.col("ends_block"), slot)).alias("window_s"),
-            F.sum("byte_sum").alias("_sum"))
-        .where(F.col("window_s").isNotNull())
-        .groupBy(*keys, "window_s").agg(
-            F.count(F.lit(1)).alias("blocks"),
-            F.count_if(F.col("_sum") % 256 != 0).alias("checksum_failures"))
+    parsed = parse_lines(df, raw).select(
+        *keys, order, "byte_sum", "ends_block", slot.alias("window_s"),
+        (F.length("text") > 0).alias("_has_text"))
+    line = Timeline(parsed, keys, [order], limit)
+    numbered = line.scan(block_no=("before", F.col("ends_block").cast("long"))).rows
+    block = [*keys, "block_no"]
+    ended = (
+        line.deal(numbered, block).groupBy(*block, "window_s").agg(
+            F.count_if("_has_text").alias("lines"),
+            F.max("ends_block").alias("_ended"), F.sum("byte_sum").alias("_sum"))
+        .withColumn("_sum", F.sum("_sum").over(Window.partitionBy(*block)))
     )
-    where = [*keys, "window_s"]
-    return lines.join(blocks, where, "left").na.fill(0, ["blocks", "checksum_failures"])
+    # A block counts in the interval of its last line.
+    return ended.groupBy(*keys, "window_s").agg(
+        F.sum("lines").alias("lines"), F.count_if("_ended").alias("blocks"),
+        F.count_if(F.col("_ended") & (F.col("_sum") % 256 != 0)).alias("checksum_failures")
+    ).where("lines > 0")
