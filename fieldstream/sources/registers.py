@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, MapType
 
 from ..functions import binary as b
+from ..functions.binary import list_parts
 from ..plans import dimensions as dim
 
 
@@ -18,10 +22,9 @@ def register_replies(df: DataFrame, frame: str = "frame") -> DataFrame:
     ``reject_reason`` and ``registers`` (unsigned 16-bit, NULL when rejected).
     """
     work = df.select("*", b.modbus_reply(F.col(frame)).alias("_r"),
-                     F.length(frame).alias("_size"),
-                     F.hex(F.substring(frame, 1, 3)).alias("_head"))
+                     F.length(frame).alias("_size"))
     size, wanted = F.col("_size"), F.col("count") * 2
-    byte = [b.unsigned_at(F.col("_head"), n, 1).cast("int") for n in range(3)]
+    byte = [F.get(F.col("_r.head"), F.lit(n)) for n in range(3)]
     reason = (
         F.when(size.isNull() | (size < 5), "response too short")
         .when(F.col("_r.crc") != F.col("_r.sent_crc"), "crc mismatch")
@@ -32,7 +35,7 @@ def register_replies(df: DataFrame, frame: str = "frame") -> DataFrame:
     return (
         work.withColumn("reject_reason", reason)
         .withColumn("registers", F.when(F.col("reject_reason").isNull(), F.col("_r.words")))
-        .drop("_r", "_size", "_head")
+        .drop("_r", "_size")
     )
 
 
@@ -43,7 +46,7 @@ def register_snapshot(replies: DataFrame, keys: Sequence[str],
     Replies are laid over each other in the sequence of ``order``: where ranges overlap, or
     one was asked for again, the later reply wins (of equal ones the larger values). Repeats
     of one range are reduced before the shuffle, so a poll collects one array per distinct
-    range at most, and its entries are sorted once.
+    range at most; the arrays of many polls are laid over each other at once.
     """
     ranges = replies.groupBy(*keys, "start", F.size("registers").alias("_n")).agg(
         F.max(F.struct(F.col(order).alias("at"), F.col("registers").alias("values")))
@@ -53,17 +56,28 @@ def register_snapshot(replies: DataFrame, keys: Sequence[str],
         F.bool_or("_failed").alias("_failed"),
         F.sort_array(F.collect_list(F.struct("_last.at", "start", "_last.values")))
         .alias("_ranges"))
-    laid = F.sort_array(F.flatten(F.transform("_ranges", lambda r, turn: F.transform(
-        r["values"], lambda v, i: F.struct(
-            (r["start"] + i).alias("key"), turn.alias("turn"), v.alias("value"))))))
-    # Of each address the last entry stays: the one that the next address follows.
-    last = F.filter("_laid", lambda e, i: F.coalesce(
-        F.get(F.col("_laid"), i + 1)["key"] != e["key"], F.lit(True)))
-    return (
-        polls.where(~F.col("_failed")).withColumn("_laid", laid)
-        .select(*keys, F.map_from_entries(F.transform(last, lambda e: F.struct(
-            e["key"].alias("key"), e["value"].alias("value")))).alias("registers"))
-    )
+    return polls.where(~F.col("_failed")).select(
+        *keys, laid_over(F.col("_ranges.start"), F.col("_ranges.values")).alias("registers"))
+
+
+@F.arrow_udf(MapType(IntegerType(), IntegerType()))
+def laid_over(starts: pa.Array, values: pa.Array) -> pa.Array:
+    """One map per row from runs of registers, each from its start on; later runs win."""
+    start, runs = list_parts(starts)
+    arrays, _ = list_parts(values)
+    value, size = list_parts(arrays)
+    row = np.repeat(np.repeat(np.arange(len(starts)), runs), size)
+    first = np.repeat(start.to_numpy(zero_copy_only=False).astype(np.int64)
+                      - (np.cumsum(size) - size), size)
+    address = first + np.arange(len(value))
+    # Sorted by row and address, equal ones in their order: the last of them stays.
+    order = np.argsort((row << 32) + address, kind="stable")
+    row, address = row[order], address[order]
+    last = np.append((row[1:] != row[:-1]) | (address[1:] != address[:-1]), True)[:len(row)]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row[last], minlength=len(starts)))))
+    return pa.MapArray.from_arrays(
+        pa.array(ends, pa.int32()), pa.array(address[last], pa.int32()),
+        value.take(pa.array(order[last])).cast(pa.int32()))
 
 
 def _printable(u16: Column) -> Column:
