@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,15 @@ def missing_registers(registers: Column) -> Column:
     return F.array_except(F.array(*[F.lit(r) for r in required]), F.map_keys(registers))
 
 
+def _entries(registers: Column, addresses: Sequence[int]) -> Column:
+    """The map's entries at some addresses, each looked up by a compiled expression: a lambda
+    would be interpreted for every entry of every poll."""
+    return F.when(registers.isNotNull(), F.map_from_entries(F.array_compact(F.array(*[
+        F.when(F.map_contains_key(registers, r), F.struct(
+            F.lit(r).alias("key"), F.try_element_at(registers, F.lit(r)).alias("value")))
+        for r in addresses]))))
+
+
 def bms(df: DataFrame, registers: str = "registers", current_sign: int = 1) -> DataFrame:
     """Battery register map to typed columns; ``reject_reason`` names missing registers.
 
@@ -93,9 +104,8 @@ def bms(df: DataFrame, registers: str = "registers", current_sign: int = 1) -> D
         return value.cast("double") / F.lit(100.0)
 
     first = dim.BATTERY_REGISTERS["cell_first"]
-    cells = F.transform(
-        F.sequence(F.lit(first), F.lit(first + dim.CELLS - 1)),
-        lambda r: F.coalesce(F.try_element_at(regs, r), F.lit(0)))
+    cells = F.array(*[F.coalesce(F.try_element_at(regs, F.lit(r)), F.lit(0))
+                      for r in range(first, first + dim.CELLS)])
     missing = missing_registers(regs)
     return (
         df.withColumns({"cells_mv": cells, "_missing": missing})
@@ -117,8 +127,7 @@ def bms(df: DataFrame, registers: str = "registers", current_sign: int = 1) -> D
             reg("cell_count").alias("cell_count"),
             *_cell_columns("_stats"),
             "cells_mv",
-            F.map_filter(regs, lambda k, _: k.isin(*dim.UNIDENTIFIED_REGISTERS))
-            .alias("unidentified"))
+            _entries(regs, dim.UNIDENTIFIED_REGISTERS).alias("unidentified"))
     )
 
 

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from fieldstream.functions import binary as b
+from fieldstream.operators import normalize
 from fieldstream.session import METHOD_BYTES, METHOD_CONF
 from fieldstream.sources import registers
-from workload import inputs
+from workload import inputs, jobs
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +53,20 @@ def test_later_runs_of_registers_win(spark):
     got = {r.k: r.m for r in df.select(
         "k", registers.laid_over("starts", "runs").alias("m")).collect()}
     assert got == {"a": {5: 7, 6: 9, 7: 3}, "b": {}, "c": {70000: 4, 70001: None}}
+
+
+def test_device_rows_build_each_register_map_once(spark):
+    lines = plan(jobs.device_readings(spark, SF)["bms"]).splitlines()
+    assert not [x for x in lines if "Filter" in x and "array_except" in x]
+
+
+def test_registers_are_looked_up_by_compiled_expressions(spark):
+    maps = spark.createDataFrame(
+        [(1, {113: 3300, 128: 3200, 19: 7, 40: None, 50: 1}), (2, {}), (3, None)],
+        "k int, registers map<int,int>")
+    read = normalize.bms(maps)
+    text = plan(read)
+    assert "map_filter" not in text and "sequence(113" not in text
+    got = {r.k: (r.cells_mv, r.unidentified) for r in read.collect()}
+    assert got == {1: ([3300, *[0] * 14, 3200], {19: 7, 40: None}), 2: ([0] * 16, {}),
+                   3: ([0] * 16, None)}
