@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstream.llm import decontaminate, language, line_dedup, packing, set_join
+from fieldstream.llm import decontaminate, language, line_dedup, near_pages, packing, set_join
 from fieldstream.llm.common import documents, keep, maybe_broadcast, third
 from fieldstream.llm.queries import vocabulary
 
@@ -28,7 +28,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Near copies count once, so that the next stage finds them whole and keeps one.
     """
-    out = line_dedup.drop_boilerplate(docs, dropped_col="__lines_dropped", near=set_join.link)
+    out = line_dedup.drop_boilerplate(docs, dropped_col="__lines_dropped", near=near_pages.link)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__lines_dropped") > 0, F.length("text"))
                              .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -57,16 +57,17 @@ def boilerplate(docs: DataFrame, most_share: float = 0.08, least_pages: int = 5,
         return found
     found = keep(found, "common-lines").select(F.col("host").alias("__host"),
                                                F.col("mark").alias("__mark"))
-    doubtful = (page.select("host", "page", "size", F.size("lines").alias("n"),
-                            F.explode("lines").alias("mark"))
-                .join(maybe_broadcast(found, found.count()),
-                      F.col("host").eqNullSafe(F.col("__host"))
-                      & (F.col("mark") == F.col("__mark")))
-                .groupBy("host", "page", "size", "n").agg(F.count("*").alias("common"))
-                .where(2 * F.col("common") >= F.col("n"))
-                .select(F.col("page").alias("__page")).distinct())
+    doubtful = keep(
+        page.select("host", "page", "size", F.size("lines").alias("n"),
+                    F.explode("lines").alias("mark"))
+        .join(maybe_broadcast(found, found.count()),
+              F.col("host").eqNullSafe(F.col("__host")) & (F.col("mark") == F.col("__mark")))
+        .groupBy("host", "page", "size", "n").agg(F.count("*").alias("common"))
+        .where(2 * F.col("common") >= F.col("n"))
+        .select(F.col("page").alias("__page")).distinct(), "doubtful")
     texts = (pages.select(F.xxhash64("text").alias("doc_id"), "text")
-             .join(doubtful, F.col("doc_id") == F.col("__page"), "left_semi")
+             .join(maybe_broadcast(doubtful, doubtful.count()),
+                   F.col("doc_id") == F.col("__page"), "left_semi")
              .dropDuplicates(["doc_id"]))
     groups = keep(near(keep(texts, "doubtful-pages"))
                   .select(F.col("doc_id").alias("__page"), F.col("component_id").alias("group")),
