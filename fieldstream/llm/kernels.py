@@ -32,12 +32,16 @@ def release() -> None:
         trim(0)
 
 
-def tidy(run: Callable) -> Callable:
-    """A batch function that gives memory back after each batch that it yields."""
+def tidy(run: Callable, each: bool = True) -> Callable:
+    """A batch function that gives memory back after each batch that it yields.
+
+    Without ``each`` only when it ends: batches that all need as much would fetch it anew.
+    """
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in run(batches):
             yield batch
-            release()
+            if each:
+                release()
         release()
 
     return tidied

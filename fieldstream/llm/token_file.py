@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ from fieldstream.session import run_dir
 
 RUN = 256
 LONGEST = 18
+LENGTH_BITS = 5
 TOKENS_A_BLOCK = 1 << 20
 TOKENS_A_SHARD = 8 << 20
 #: Stands for a null document id inside a block.
@@ -82,33 +84,44 @@ class Code:
         span = np.int64(1) << (self.width - self.lengths)
         first = np.cumsum(span) - span
         size = int(symbols.max()) + 1 if len(symbols) else 1
+        #: An id's code word at the left end of 64 bits, and its length.
         self.word = np.zeros(size, np.uint64)
         self.bits = np.zeros(size, np.int64)
-        self.word[self.symbols] = (first >> (self.width - self.lengths)).astype(np.uint64)
+        self.word[self.symbols] = first.astype(np.uint64) << np.uint64(64 - self.width)
         self.bits[self.symbols] = self.lengths
-        self.table_symbol = np.zeros(1 << self.width, np.uint32)
-        self.table_bits = np.ones(1 << self.width, np.int64)
-        filled = int(span.sum())
-        self.table_symbol[:filled] = np.repeat(self.symbols, span)
-        self.table_bits[:filled] = np.repeat(self.lengths, span)
+        #: For every ``width`` bits the id that they begin with, and its length in the low bits.
+        wide = size > 1 << (32 - LENGTH_BITS)
+        self.table = np.ones(1 << self.width, np.int64 if wide else np.uint32)
+        self.table[:int(span.sum())] = np.repeat(
+            self.symbols.astype(np.uint64) << np.uint64(LENGTH_BITS)
+            | self.lengths.astype(np.uint64), span)
+
+
+def _runs(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every run of ``RUN`` ids its document and its number there."""
+    runs = -(-count // RUN)
+    owner = np.repeat(np.arange(len(count)), runs)
+    return owner, np.arange(len(owner)) - (np.cumsum(runs) - runs)[owner]
 
 
 def write_block(code: Code, ids: np.ndarray, docs: np.ndarray, count: np.ndarray) -> bytes:
     """One block of the documents ``docs`` with ``count`` ids each."""
     edge = np.concatenate([[0], np.cumsum(count)])
-    size = code.bits[ids]
-    bit = np.concatenate([[0], np.cumsum(size)])
-    doc_bytes = -(-(bit[edge[1:]] - bit[edge[:-1]]) // 8)
+    bit = np.concatenate([[0], np.cumsum(code.bits[ids])])
+    begin = bit[edge[:-1]]
+    doc_bytes = -(-(bit[edge[1:]] - begin) // 8)
     first = np.concatenate([[0], np.cumsum(doc_bytes)])
-    owner = np.repeat(np.arange(len(docs)), count)
-    inside = bit[:-1] - bit[edge[:-1]][owner]
-    place = inside + 8 * first[owner]
-    check = inside[(np.arange(len(ids)) - edge[owner]) % RUN == 0]
-    words = np.zeros(int(first[-1]) // 4 + 3, np.uint64)
+    owner, turn = _runs(count)
+    check = bit[edge[owner] + turn * RUN] - begin[owner]
+    place = bit[:-1] + np.repeat(8 * first[:-1] - begin, count)
+    value = code.word[ids] >> (place & 31).astype(np.uint64)
+    # What begins in the same 32 bits shares no bit, so that it is added up at once.
     at = place >> 5
-    value = code.word[ids] << (64 - (place & 31) - size).astype(np.uint64)
-    np.add.at(words, at, value >> np.uint64(32))
-    np.add.at(words, at + 1, value & np.uint64(0xFFFFFFFF))
+    new = np.flatnonzero(np.diff(at, prepend=-1))
+    at, value = at[new], np.add.reduceat(value, new)
+    words = np.zeros(int(first[-1]) // 4 + 3, np.uint64)
+    words[at] = value >> np.uint64(32)
+    words[at + 1] += value & np.uint64(0xFFFFFFFF)
     data = words.astype(">u4").tobytes()[:int(first[-1])]
     head = np.array([len(docs), len(data), len(check), len(ids)], "<u4")
     return b"".join([head.tobytes(), docs.astype("<i8").tobytes(), count.astype("<u4").tobytes(),
@@ -123,13 +136,11 @@ def read_block(code: Code, block: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     count = np.frombuffer(block, "<u4", n, at + 8 * n).astype(np.int64)
     first = np.frombuffer(block, "<u8", n, at + 12 * n).astype(np.int64)
     check = np.frombuffer(block, "<u4", checks, at + 20 * n).astype(np.int64)
-    data = np.zeros(size + 8, np.uint64)
+    data = np.zeros(size + 8, np.uint32)
     data[:size] = np.frombuffer(block, np.uint8, size, at + 20 * n + 4 * checks)
-    view = ((data[:-3] << np.uint64(24)) | (data[1:-2] << np.uint64(16))
-            | (data[2:-1] << np.uint64(8)) | data[3:]).astype(np.uint32)
-    runs = -(-count // RUN)
-    owner = np.repeat(np.arange(n), runs)
-    turn = np.arange(checks) - (np.cumsum(runs) - runs)[owner]
+    pair = data[:-1] << np.uint32(8) | data[1:]
+    view = pair[:-2] << np.uint32(16) | pair[2:]
+    owner, turn = _runs(count)
     bit = check + 8 * first[owner]
     left = np.minimum(RUN, count[owner] - turn * RUN)
     edge = np.concatenate([[0], np.cumsum(count)])
@@ -139,15 +150,24 @@ def read_block(code: Code, block: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     order = np.argsort(-left, kind="stable")
     bit, left, target = bit[order], left[order], target[order]
     alive = np.searchsorted(-left, -np.arange(int(left.max()) if checks else 0), "left")
-    mask = np.uint32((1 << code.width) - 1)
+    room, low = 32 - code.width, (1 << LENGTH_BITS) - 1
     for step, k in enumerate(alive.tolist()):
         here = bit[:k]
-        entry = (view[here >> 3] >> (32 - code.width - (here & 7)).astype(np.uint32)) & mask
-        out[target[:k] + step] = code.table_symbol[entry]
-        here += code.table_bits[entry]
+        # The bits before ``here`` leave at the left, those behind the word at the right.
+        ahead = view.take(here >> 3) << (here & 7).astype(np.uint32)
+        entry = code.table.take(ahead >> room)
+        out[target[:k] + step] = entry >> LENGTH_BITS
+        here += entry & low
     return out, docs, count
 
 
+def checksums(ids: np.ndarray, edge: np.ndarray) -> list[int]:
+    """The crc32 of each document's ids as unsigned 32-bit integers."""
+    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+    at = (4 * edge).tolist()
+    return [zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:])]
+
+
 def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
           text_col: str = "text", end: int = 0, added_tokens: bool = False) -> None:
     """Encode the texts (null: empty), an end id behind each, and write the file set.
@@ -164,32 +184,29 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
         for batch in batches:
             for first, ids, at in encoder.slices(batch.column(1)):
                 ids, at = with_end(ids, at, end)
-                crc, runs = [], []
-                raw = memoryview(ids.astype("<u4").tobytes())
-                slim = memoryview(ids.astype(kind).tobytes())
-                w = int(kind[-1])
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                    crc.append(zlib.crc32(raw[4 * a:4 * b]))
-                    runs.append(bytes(slim[w * a:w * b]))
-                n = len(runs)
+                n, w = len(at) - 1, int(kind[-1])
+                runs = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), n,
+                    [None, pa.py_buffer(w * at), pa.py_buffer(ids.astype(kind))])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), pa.array(np.diff(at)),
-                     pa.array(crc, pa.int64()), pa.array([w] * n, pa.int32()),
-                     pa.array(runs, pa.binary())], ["id", "n", "crc", "width", "ids"])
+                     pa.array(checksums(ids, at), pa.int64()), pa.array([w] * n, pa.int32()),
+                     runs.cast(pa.binary())], ["id", "n", "crc", "width", "ids"])
 
     layout = "id long, n long, crc long, width int, ids binary"
     (small_batches(docs).select(F.col(id_col).cast("long").alias("id"),
                  F.col(text_col).cast("string").alias("text"))
-     .mapInArrow(K.tidy(encode), layout).write.option("compression", "zstd").parquet(f"{path}/ids"))
+     .mapInArrow(K.tidy(encode, False), layout).write.option("compression", "zstd").parquet(f"{path}/ids"))
     held = spark.read.schema(layout).parquet(f"{path}/ids")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for w in (2, 4):
-                flat = b"".join(x for x, k in zip(batch.column(1).to_pylist(),
-                                                  batch.column(0).to_pylist()) if k == w)
-                got = np.bincount(np.frombuffer(flat, f"<u{w}"), minlength=len(total))
+            for w in pc.unique(batch.column(0)).to_pylist():
+                runs = batch.column(1).filter(pc.equal(batch.column(0), w))
+                _, edge, data = runs.cast(pa.large_binary()).buffers()
+                size = int(np.frombuffer(edge, np.int64)[len(runs)])
+                got = np.bincount(np.frombuffer(data, f"<u{w}", size // w), minlength=len(total))
                 got[:len(total)] += total
                 total = got
         symbol = np.flatnonzero(total)
@@ -221,7 +238,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held_ids, held_docs, size
-            ids = np.concatenate(held_ids)
+            ids = np.concatenate(held_ids).astype(np.int64)
             count = np.array([len(x) for x in held_ids])
             data = write_block(code, ids, np.array(held_docs, np.int64), count)
             row = pa.RecordBatch.from_arrays(
@@ -234,7 +251,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
         for batch in batches:
             for doc, w, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                    batch.column(2).to_pylist()):
-                run = np.frombuffer(raw, f"<u{w}").astype(np.int64)
+                run = np.frombuffer(raw, f"<u{w}")
                 held_ids.append(run)
                 held_docs.append(NULL_ID if doc is None else doc)
                 size += len(run)
@@ -246,7 +263,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id",
     order = ["id", "crc", "n"]
     (held.repartitionByRange(shards, *order).sortWithinPartitions(*order)
      .select("id", "width", "ids")
-     .mapInArrow(K.tidy(blocks), "shard long, block long, tokens long, data binary")
+     .mapInArrow(K.tidy(blocks, False), "shard long, block long, tokens long, data binary")
      .write.option("compression", "none").parquet(f"{path}/blocks"))
 
 
@@ -279,9 +296,7 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
             for shard_no, number, data in zip(*(batch.column(k) for k in range(3))):
                 ids, docs, count = read_block(code, data.as_buffer().to_pybytes())
                 edge = np.concatenate([[0], np.cumsum(count)])
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * a:4 * b])
-                       for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                crc = checksums(ids, edge)
                 n = len(docs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard_no.as_py()] * n, pa.int64()),
@@ -291,7 +306,7 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                     ["shard", "block", "id", "inside", "n", "crc"])
 
     got = stored.select("shard", "block", "data").mapInArrow(
-        K.tidy(decode), "shard long, block long, id long, inside long, n long, crc long")
+        K.tidy(decode, False), "shard long, block long, id long, inside long, n long, crc long")
     return (got.join(starts, (F.col("shard") == F.col("__s")) & (F.col("block") == F.col("__b")))
             .select(F.col("id").alias(id_col), (F.col("base") + F.col("inside")).alias("start"),
                     F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32")))
